@@ -1,10 +1,6 @@
 """All queries of the graph engine by name, with their SQL."""
 
-from __future__ import annotations
+from . import queries  # noqa: F401  (registers them)
+from .plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
