@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +24,23 @@ def words(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    runs = lambda c: F.when(F.size(c) >= 3, F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat_ws("", F.slice(c, i, 3)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(bind(F.split(text, ""), runs))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row: inside a lambda a plain expression would be computed at every step."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Distinct runs of k words; of fewer words the whole sequence."""
-    n = F.size(tokens)
-    many = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, k)))
-    return F.array_distinct(F.when(n >= k, many).when(n > 0, F.array(F.concat_ws(" ", tokens))).otherwise(F.array().cast("array<string>")))
+
+    def runs(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, k)))
+        return F.when(F.size(t) >= k, many).when(F.size(t) > 0, F.array(F.concat_ws(" ", t))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(bind(tokens, runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -54,9 +54,9 @@ def _(s, d):
     return fl.by_kinds(g.edges, ["calls", "member_of"]).join(src, "src").join(dst, "dst", "left").select("src", "dst", "kind", "repo_prefix", "target_kind")
 
 
-@query("name_contains", duck("SELECT id, name FROM nodes WHERE contains(lower(name), '00_1')"))
+@query("name_contains", duck("SELECT id, name FROM nodes WHERE contains(lower(name), 'r_12')"))
 def _(s, d):
-    return fl.name_contains(supply(s, d).nodes, "00_1").select("id", "name")
+    return fl.name_contains(supply(s, d).nodes, "r_12").select("id", "name")
 
 
 @query("name_folded", duck("SELECT id, name FROM nodes WHERE lower(name) = lower('ORDER_77')"))

@@ -171,7 +171,7 @@ def _(s, d):
     return rt.frecency(table(s, d, "events"), "user_id", "ts", "2024-02-01").select("user_id", F.round("score", 6).alias("score"))
 
 
-@query("combo_counts", "SELECT user_id, event_type, count(*) AS hits, CASE WHEN count(*) >= 3 THEN least(1.5, 1 + 0.1 * count(*)) ELSE 1.0 END AS boost FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) <= 20")
+@query("combo_counts", "SELECT user_id, event_type, count(*) AS hits, CASE WHEN count(*) >= 3 THEN CAST(least(1.5, 1 + 0.1 * count(*)) AS DOUBLE) ELSE 1.0 END AS boost FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) <= 20")
 def _(s, d):
     c = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"))
     top = c.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("hits"), "event_type"))).where("rn <= 20")

@@ -248,7 +248,7 @@ def _(s, d):
 def _(s, d):
     from ..operators.retrieval import recency
 
-    days = (F.unix_timestamp(F.lit("2024-02-01").cast("timestamp")) * F.lit(1.0) - F.unix_micros("ts") / 1e6) / 86400
+    days = (F.unix_timestamp(F.lit("2024-02-01").cast("timestamp")) * F.lit(1.0) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) / 86400
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.avg(recency(days)), 6).alias("recency"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 TODO = r"(TODO|FIXME|HACK)(?:\(([\w.-]+)\))?(?:\[(\d{4}-\d{2}-\d{2})\])?\s*[(:]\s*(.*)"
 
 
@@ -78,7 +80,7 @@ def citations(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     words = docs.select("doc_id", "text", split(F.col("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 4)))
+    runs = bind(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 4))))
     key = items.select("item_id", F.col("text").alias("item"), F.xxhash64(F.slice(split(F.col("text")), 1, 4)).alias("k"))
     near = words.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("k")).join(key, "k").where(F.contains("text", F.col("item")))
     return near.select("doc_id", "item_id", ((F.length("text") - F.length(F.replace("text", F.col("item"), F.lit("")))) / F.length("item")).cast("long").alias("hits")).distinct()

@@ -43,7 +43,9 @@ def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}/{epoch}")  # a retried epoch replaces itself
 
-    out = transform(reader.parquet(source))
+    rows = reader.parquet(source)
+    plain = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]  # watermarks need an instant; the session's zone is UTC
+    out = transform(rows.withColumns({c: F.col(c).cast("timestamp") for c in plain}))
     out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
     epochs = sorted((r.getPath().getName() for r in _listed(spark, f"{folder}/{name}")), key=int)
     wanted = epochs[-1:] if mode == "complete" else epochs
