@@ -140,8 +140,13 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     lines = F.when(found, F.filter(F.split("text", "\n"), anchored)).otherwise(F.array().cast("array<string>"))
     base = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), lines.alias("lines")), "licence-lines")
     words = base.where(F.size("lines") > 0).select("rid", F.posexplode("lines").alias("place", "line")).select("rid", "place", words_of(F.col("line")).alias("words"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
-    each = F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    def both(w: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+        return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    # Bound to a lambda's variable, the words are split once a line and not again for every pair.
+    each = F.get(F.transform(F.array("words"), both), 0)
     gram = words.select("rid", "place", F.explode(F.array_distinct(each)).alias("gram"))
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, weight array<double>")  # bounded by the templates
     hits = gram.join(F.broadcast(weights), "gram")
