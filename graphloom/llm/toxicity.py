@@ -25,7 +25,7 @@ from .quality import keep_rows, parts
 
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Most words that the lexicon takes from the labels, and the share of toxic documents that must hold one.
-LEARNED, LEAST_SHARE = 200, 0.01
+LEARNED, LEAST_SHARE = 200, 0.08
 SEED = frozenset("idiot idiots stupid moron morons loser losers scum trash garbage pathetic worthless disgusting clown clowns filth vermin dumb imbecile degenerate".split())
 SECOND = frozenset("you your yours yourself u ur youre du dein deine dich dir ihr euch tu te toi ton ta tes vous votre vos tú tus ti usted ustedes vosotros".split())
 FEATURES = ("hits", "log_hits", "hit_rate", "kinds", "masked", "second", "near", "upper", "bangs", "marks", "shouted", "odd_words", "odd_rate", "log_words", "hit_windows")
