@@ -180,7 +180,7 @@ def betweenness(ids: DataFrame, edges: DataFrame, pivots: int = 256) -> DataFram
                         lean[v] += count[v] / count[t] * (1 + lean[t])
                     if t != s:
                         score[t] += lean[t] * scale
-        yield pd.DataFrame({"id": list(score), "score": list(score.values())})
+        yield pd.DataFrame({"id": pd.Series(list(score), dtype=object), "score": pd.Series(list(score.values()), dtype=float)})
 
     part = chosen.repartition(8, "id").mapInPandas(brandes, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
     return ids.join(part, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
