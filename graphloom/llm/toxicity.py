@@ -1,6 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is a seed list and the words that the training labels single out.  Words are compared after folding: lower case,
+The lexicon is a seed list and the words that the training labels single out, however few documents of a language are labelled;
+the trees see each training row through words learnt from other rows, so a word isn't trusted for having been learnt there.  Words are compared after folding: lower case,
 digits and signs that stand for letters turned back, marks inside words and zero-width characters dropped.
 
 Defined results: a null text is the empty text and gets a score; without toxic labels scores come from the prior and
@@ -24,8 +25,8 @@ from .labelled import labelled_texts, matrix, training_labels
 from .quality import keep_rows, parts
 
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-#: Most words that the lexicon takes from the labels, and the share of toxic documents that must hold one.
-LEARNED, LEAST_SHARE = 200, 0.08
+#: Toxic documents that must hold a learnt word, how much likelier it must be in them, and parts of the training rows.
+LEAST, LIFT, FOLDS = 3, 20, 5
 SEED = frozenset("idiot idiots stupid moron morons loser losers scum trash garbage pathetic worthless disgusting clown clowns filth vermin dumb imbecile degenerate".split())
 SECOND = frozenset("you your yours yourself u ur youre du dein deine dich dir ihr euch tu te toi ton ta tes vous votre vos tú tus ti usted ustedes vosotros".split())
 FEATURES = ("hits", "log_hits", "hit_rate", "kinds", "masked", "second", "near", "upper", "bangs", "marks", "shouted", "odd_words", "odd_rate", "log_words", "hit_windows")
@@ -107,18 +108,22 @@ def features(text: bytes, lexicon: frozenset[str] | Judge) -> list[float]:
     return [hits, float(np.log1p(hits)), 1000 * hits / w, len(kinds), masked, second / w, near, upper / size, bangs / w, signs / size, shouted, odd, 1000 * odd / w, float(np.log1p(n)), windows]
 
 
-def learn_lexicon(rows: DataFrame) -> frozenset[str]:
-    """Words of labelled texts that are far likelier in toxic ones, with the seed; the count runs in the cluster."""
+def learn_lexicons(rows: DataFrame) -> list[frozenset[str]]:
+    """The seed with the words of labelled texts (y, fold) that are far likelier in toxic ones: of all rows, then of all but each fold.
+
+    The count runs in the cluster; the rows, and so the words, are bounded by the number of labelled documents.
+    """
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{Nd}]+"))
-    totals = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    toxic, clean = totals[0] or 0.0, totals[1] or 0.0
-    if not toxic or not clean:
-        return SEED
-    each = rows.select("y", F.explode(words).alias("word")).where(F.length("word") > 2)
-    held = each.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    lift = (F.col("bad") / toxic) / ((F.col("good") + 0.5) / (clean + 1))
-    best = held.where((F.col("bad") >= max(3.0, LEAST_SHARE * toxic)) & (lift > 20)).orderBy(F.desc(F.col("bad")), "word").limit(LEARNED)
-    return SEED | {r["word"] for r in best.select("word").collect()}
+    each = rows.select("y", "fold", F.explode(words).alias("word")).where(F.length("word") > 2)
+    outs = [None, *range(FOLDS)]
+    sums = [F.sum(F.when(F.col("fold") == out, 0.0).otherwise(v)).alias(f"{n}{k}") for k, out in enumerate(outs) for n, v in (("bad", F.col("y")), ("good", 1 - F.col("y")))]
+    totals, held, fits = rows.agg(*sums).first(), each.groupBy("word").agg(*sums), []
+    for k in range(len(outs)):
+        toxic, clean = totals[f"bad{k}"] or 0.0, totals[f"good{k}"] or 0.0
+        lift = (F.col(f"bad{k}") / (toxic or 1.0)) / ((F.col(f"good{k}") + 0.5) / (clean + 1))
+        fits.append((F.lit(bool(toxic and clean)) & (F.col(f"bad{k}") >= LEAST) & (lift > LIFT)).alias(f"fits{k}"))
+    found = held.select("word", *fits).where(" or ".join(f"fits{k}" for k in range(len(outs)))).collect()
+    return [SEED | {r["word"] for r in found if r[f"fits{k}"]} for k in range(len(outs))]
 
 
 @dataclass
@@ -143,10 +148,13 @@ def calibrated(margin: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> np.n
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Trees learn from three quarters of the training labels, the isotonic calibration from the rest."""
-    rows = materialize(labelled_texts(docs, training_labels(labels, "toxic", MODULUS, HELD_OUT)), "toxic-labels")
-    lexicon = learn_lexicon(rows)
-    judge = Judge(lexicon)
-    ids, x, y = matrix(rows, lambda t: features(t, judge), len(FEATURES))
+    rows = labelled_texts(docs, training_labels(labels, "toxic", MODULUS, HELD_OUT))
+    rows = materialize(rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "toxic-labels")
+    lexicon, *others = learn_lexicons(rows)
+    found = [matrix(rows.where(F.col("fold") == k), lambda t, judge=Judge(words): features(t, judge), len(FEATURES)) for k, words in enumerate(others)]
+    ids, x, y = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((*x.T, ids))
+    ids, x, y = ids[order], x[order], y[order]
     part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(4) == 0 if len(ids) else np.zeros(0, bool)
     if y[~part].sum() < 1 or y[part].sum() < 1:
         part = np.zeros(len(y), bool)

@@ -314,6 +314,22 @@ def test_obfuscated_words():
     assert toxicity.features(b"a fine day, all in all", judge)[0] == 0
 
 
+def test_toxic_words_of_a_small_language(spark):
+    rng = random.Random(4)
+    plain = lambda: [f"wort{rng.randrange(300)}" for _ in range(60)]
+    rows = []
+    for i in range(1200):
+        words = plain()
+        if i % 6 == 0:  # few documents hold the same form
+            words[rng.randrange(50)] = (*["idiot"] * 16, "reeuxan", "achlichen", "achlichung", "bocoes")[i // 6 % 20]
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert {"reeuxan", "achlichen", "achlichung", "bocoes"} <= model.lexicon and "wort7" not in model.lexicon
+    marked, clean = (model.scores([" ".join([*plain(), *extra]).encode()])[0] for extra in (["achlichung"], []))
+    assert marked >= toxicity.THRESHOLD > clean
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
