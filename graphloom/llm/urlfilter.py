@@ -31,7 +31,10 @@ def host_of(url: Column) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    # Cut behind the first "://" beforehand: an expression for the whole would go on to a later one if no path follows.
+    whole = F.coalesce(url, F.lit(""))
+    after = F.when(F.contains(whole, F.lit("://")), F.substring(whole, F.locate("://", whole) + 3, F.length(whole))).otherwise(F.lit(""))
+    return F.regexp_extract(after, r"(?s)^[^/?#]*(/[^?#]*)", 1)
 
 
 def keys_of(host: Column, path: Column, rules: list[str]) -> Column:

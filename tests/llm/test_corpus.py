@@ -240,6 +240,13 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_without_a_path_that_carries_another(spark):
+    urls = ["https://shop.net?u=https://x.org/es/", "http://b.net#http://c.net/fr/", "https://shop.net/es/?u=https://x.org/fr/", "x://"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(df).collect()}
+    assert got == {0: ("shop.net", "", None, "allow"), 1: ("b.net", "", None, "allow"), 2: ("shop.net", "/es/", "net/es/", "block"), 3: ("", "", None, "allow")}
+
+
 def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(4000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
