@@ -314,6 +314,14 @@ def test_held_out_accuracy(spark, module, label, floor):
     assert auc > floor, auc
 
 
+def test_lines_of_a_very_long_text():
+    at = quality.FEATURES.index("repeated_lines")
+    lines = [b"line %d" % i for i in range(250_000)]
+    assert quality.statistics(b"\n".join(lines))[at] < 1e-3
+    # Cuts between parts may split a line or leave an empty one; those are few.
+    assert quality.statistics(b"\n".join(lines + lines))[at] == pytest.approx(0.5, abs=1e-3)
+
+
 def test_obfuscated_words():
     judge = toxicity.Judge(toxicity.SEED)
     for text in ("you idiot", "an 1d10t", "i d i o t now", "IDIOT!!", "id​iot", "ID.IOT"):
