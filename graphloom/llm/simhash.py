@@ -11,6 +11,9 @@ too long is compared block against block.  Components come from star contraction
 Defined results: a null, empty or wordless text has fingerprint 0 and links like any other; a null id never becomes a
 component's id while another id is there; repeated rows stay one row each; an empty table gives an empty result;
 very long texts are hashed in parts; other columns are ignored.
+
+At 64 bits, texts that share four fifths of their shingles differ in about 9 bits, out of reach for the masks.  So
+:func:`keep_dissimilar` finds candidates by bands of least hashes instead and verifies each by its shingles.
 """
 
 from __future__ import annotations
@@ -26,28 +29,35 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
+#: Words of a shingle and similarity of near duplicates where op1's contract doesn't rule; bands of least hashes and hashes of a band,
+#: which miss a pair of similarity 0.8 with a chance of 5e-8 and others with less.
+STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 4
 #: Longest run that is compared in memory; shingles of a text that are hashed at once.
 RUN, PART = 2048, 1 << 16
 _LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a text in UTF-8."""
+def hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the runs of ``shingle`` words of a text in UTF-8 (of fewer words the whole), up to ``PART`` at once."""
     from xxhash import xxh64_intdigest as digest
 
     words = text.translate(_LOWER).split()  # bytes.split() cuts at 0x20 and 0x09 to 0x0D alone
-    if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    begins = ends - lengths
-    ends = ends[min(shingle, len(words)) - 1 :]
-    ones = np.zeros(WIDTH, np.int64)
-    for at in range(0, n, PART):
-        hashes = [digest(joined[a:b], 42) for a, b in zip(begins[at : min(n, at + PART)].tolist(), ends[at : at + PART].tolist())]
-        octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    if words:
+        joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        begins = ends - lengths
+        ends = ends[min(shingle, len(words)) - 1 :]
+        for at in range(0, n, PART):
+            yield np.array([digest(joined[a:b], 42) for a, b in zip(begins[at : min(n, at + PART)].tolist(), ends[at : at + PART].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a text in UTF-8."""
+    ones, n = np.zeros(WIDTH, np.int64), 0
+    for found in hashes(text, shingle):
+        octets, n = found.astype("<u8").view(np.uint8).reshape(-1, 8), n + len(found)
         for j in range(8):
             ones[8 * j : 8 * j + 8] += np.bincount(octets[:, j], minlength=256) @ _BITS
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
@@ -198,7 +208,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id stays, all columns kept."""
     rows = materialize(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(_hashed, "doc_id long, th long, fp long"), "fingerprints")
-    found = rows.join(classes(rows, radius), "fp")
+    return _least(docs, rows.join(classes(rows, radius), "fp"))
+
+
+def _least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each root of ``found`` (doc_id, th, root)."""
     best = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("kept"))
     chosen = best.select(F.col("kept.doc_id").alias("__id"), F.col("kept.th").alias("__th"))
     mine = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_semi")
@@ -209,6 +223,68 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return mine.withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes(text, STAGE_SHINGLE)]))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, th, text) to (doc_id, th, key, bands): the hash of the set of shingles, and of each band of its least hashes."""
+    from xxhash import xxh64_intdigest as digest
+
+    draw = random.Random(5)
+    salts, factors = (np.array([draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64) for _ in range(2))
+    for batch in batches:
+        keys, bands = [], []
+        for text in batch.column(2):
+            held = shingle_set(text.as_py() or b"")
+            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+            for at in range(0, len(held), 512):
+                least = np.minimum(least, ((held[at : at + 512, None] ^ salts) * factors).min(axis=0))
+            keys.append(digest(held.tobytes(), 7))
+            bands.append([digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(held) else [])
+        flat = np.array([b for own in bands for b in own], np.uint64).view(np.int64)
+        ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "th", "key", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held = shingle_set(batch.column(1)[i].as_py() or b"").view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))], names=["key", "held"])
+
+
+def keep_dissimilar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns: linked are texts whose sets of five-word runs have that Jaccard similarity.
+
+    Texts of equal sets are one node.  The members of a band's bucket are compared with its smallest one first; then those that
+    still are in different components with each other, so many variations of a text don't meet in pairs.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    rows = materialize(keyed.mapInArrow(_banded, "doc_id long, th long, key long, bands array<long>"), "bands")
+    each = rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min("th").alias("th")).select("key", "th", F.explode("bands").alias("bucket"))
+    many = each.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = materialize(each.join(many, "bucket"), "buckets")
+    # One text for each set that has company; its shingles are the same for every text of the set.
+    asked = met.select("key", "th").distinct()
+    texts = keyed.select("th", "text").join(asked, "th").dropDuplicates(["key"])
+    sets = materialize(texts.select("key", "text").mapInArrow(_sets, "key long, held array<long>"), "shingle-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.where("a < b").distinct().join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    first = materialize(verified(met.select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "near")
+    star = components(first).toDF("key", "root")
+    placed = materialize(met.select("bucket", "key").join(star, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    open_ = placed.join(placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "bucket")
+    left, right = open_.toDF("bucket", "a", "ra"), open_.toDF("bucket", "b", "rb")
+    second = verified(left.join(right, "bucket").where("ra <> rb and a < b").select("a", "b"))
+    star = components(first.unionByName(second)).toDF("key", "root")
+    return _least(docs, rows.drop("bands").join(star, "key", "left").withColumn("root", F.coalesce("root", "key")))
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(2)), np.uint64, batch.num_rows)

@@ -60,6 +60,34 @@ def test_simhash(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+def test_near_copies_of_four_fifths(spark, docs, empty):
+    assert simhash.keep_dissimilar(empty).count() == 0
+    rng = random.Random(9)
+    rows = corpus()
+    for i in range(30):  # near copies with one to four words changed
+        words = [f"w{rng.randrange(500)}" for _ in range(150)]
+        rows += [(1000 + 10 * i, " ".join(words), "en", "src0", 1, 1.0, 2)]
+        for j in range(1, 4):
+            again = list(words)
+            for at in rng.sample(range(150), rng.randrange(1, 5)):
+                again[at] = "changed"
+            rows += [(1000 + 10 * i + j, " ".join(again), "en", "src0", 1, 1.0, 2)]
+    sets = []
+    for r in rows:
+        w = (r[1] or "").lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    expected = {min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if group[i] == g) for g in group}
+    kept = simhash.keep_dissimilar(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(expected)
+
+
 def test_covering_masks_and_long_runs(spark):
     masks = [m & (1 << 64) - 1 for m in simhash.masks()]
     rng = random.Random(1)
