@@ -39,7 +39,7 @@ def strata(length: Column) -> Column:
 def near_pairs(docs: DataFrame, threshold: float = 0.8, hashes: int = 64, rows: int = 4) -> DataFrame:
     """(a, b, similarity) of docs (id, shingles), a < b: candidates share a band, and are verified exactly.
 
-    Equal shingle sets are one class, named by its least id, so copies never meet in pairs.
+    Equal shingle sets are one class, named by its least id, so copies never meet in pairs; :func:`members` has the classes.
     """
     classes = durable(docs.where(F.size("shingles") > 0).groupBy(F.xxhash64(F.array_sort("shingles")).alias("key")).agg(F.min("id").alias("id"), F.min_by("shingles", "id").alias("shingles")).select("id", "shingles"), "classes")
     keyed = durable(classes.select("id", F.explode(bands(signature(F.col("shingles"), hashes), rows)).alias("k")).select("id", "k.band", "k.bucket"), "bands")
@@ -50,6 +50,29 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, hashes: int = 64, rows:
     return score.where(F.col("similarity") >= threshold)
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """(id, class) of each of docs (id, shingles): the least id with an equal shingle set; without shingles the doc's own id."""
+    keyed = docs.select("id", F.when(F.size("shingles") > 0, F.xxhash64(F.array_sort("shingles"))).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("class"))
+    return durable(keyed.join(least, "key", "left").select("id", F.coalesce("class", "id").alias("class")), "members")
+
+
+def all_pairs(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b, similarity) of classes with those of each class and its other members (id, class); any pair of docs follows from them."""
+    copies = held.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(copies)
+
+
+def placed(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, cluster, links) of each member: its cluster (of the transitive closure), and how many docs it has pairs with, copies among them."""
+    sizes = held.groupBy("class").agg(F.count("*").alias("n"))
+    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    far = ends.join(sizes.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("n").alias("far"))
+    groups = clusters(pairs).withColumnRenamed("id", "class")
+    out = held.join(sizes, "class").join(far, "class", "left").join(groups, "class", "left")
+    return out.select("id", F.coalesce("cluster", "class").alias("cluster"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster) of the transitive closure of pairs (a, b)."""
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..operators import dedup as dd
 from ..operators import retrieval as rt
+from ..plans.durable import durable
 from ..plans.registry import query
 from ..sources.tables import table
 
@@ -87,12 +88,14 @@ def _shingled(s, d):
 
 @query("minhash_pairs")
 def _(s, d):
-    return dd.near_pairs(_shingled(s, d)).withColumn("similarity", F.round("similarity", 6))
+    docs = _shingled(s, d)
+    return dd.all_pairs(dd.near_pairs(docs), dd.members(docs)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("clone_clusters")
 def _(s, d):
-    return dd.clusters(dd.near_pairs(_shingled(s, d)))
+    docs = _shingled(s, d)
+    return dd.placed(durable(dd.near_pairs(docs), "pairs"), dd.members(docs))
 
 
 @query("clone_tokens")

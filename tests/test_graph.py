@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import shingles
 from graphloom.operators import analytics as an
 from graphloom.operators import filters as fl
 from graphloom.operators import retrieval as rt
 from graphloom.operators import traverse as tr
+from graphloom.operators.dedup import all_pairs, members, near_pairs, placed
 from graphloom.plans import dsl
 from graphloom.sources import scanners
 
@@ -101,3 +103,19 @@ def test_owners_last_rule_wins_and_coverage_skips_what_is_malformed(spark):
     assert pairs(scanners.owners(files, [("*", "all"), ("/src/**", "core")])) == {"1": "core", "2": "all"}
     lines = spark.createDataFrame([("a.go:3.1,5.2 2 1",), ("junk",)], "value string")
     assert [tuple(r) for r in scanners.coverage(lines).collect()] == [("a.go", 3, 5, 2, 1)]
+
+
+def test_clone_clusters_hold_every_document(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(200)}" for _ in range(60)] for _ in range(4)]
+    near = [*base[0][:-1], "other"]
+    tokens = [base[0], base[0], base[1], base[1], base[1], near, near, base[2], [], []]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in tokens]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "id long, tokens array<string>").select("id", shingles(F.col("tokens")).alias("shingles"))
+    linked = [[j for j in range(len(sets)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(sets))]
+    pairs, held = near_pairs(docs), members(docs)
+    got = {r.id: (r.cluster, r.links) for r in placed(pairs, held).collect()}
+    assert got == {i: (min([i, *linked[i]]), len(linked[i])) for i in range(len(sets))}
+    assert {(r.a, r.b) for r in all_pairs(pairs, held).collect()} == {(0, 1), (2, 3), (2, 4), (0, 5), (5, 6)}
