@@ -2,8 +2,9 @@
 
 A logistic regression over words and pairs of words, trained here on variations of public licence notices and on other prose,
 gives each paragraph a family or ``unknown``; the bar for a family is calibrated on variations it wasn't trained on.
-A prediction counts as confirmed if the paragraph holds nearly all words of one of the family's templates.  Paragraphs
-(lines) without any of the ``ANCHORS``, one of which is in every template, aren't licence notices and aren't scored.
+A prediction counts as confirmed if the paragraph holds nearly all words of one of the family's templates.  Paragraphs are
+lines, and the lines between blank ones as a whole: where the whole is confirmed as a family that none of its lines is, it stands
+for its unconfirmed lines.  Those without any of the ``ANCHORS``, one of which is in every template, aren't scored.
 
 Defined results: a null, empty or licence-free text gives family ``none`` with no paragraphs; repeated rows each
 get their own row; a null id stays null; an empty table gives an empty result; other columns are ignored; a very long
@@ -132,14 +133,22 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     model = model or train()
     names = [*model.families, UNKNOWN]
-    low = F.lower(F.coalesce("text", F.lit("")))
+    flat = lambda p: F.regexp_replace(F.lower(p), r"\s+", " ")
+    low = flat(F.coalesce("text", F.lit("")))
     found = F.lit(False)
     for anchor in ANCHORS:
         found = found | F.contains(low, F.lit(anchor))
-    anchored = lambda p: F.exists(F.array(*map(F.lit, ANCHORS)), lambda a: F.contains(F.lower(p), a))
-    lines = F.when(found, F.filter(F.split("text", "\n"), anchored)).otherwise(F.array().cast("array<string>"))
+    anchored = lambda p: F.exists(F.array(*map(F.lit, ANCHORS)), lambda a: F.contains(p, a))
+    kind = "array<struct<block:int,single:boolean,line:string>>"
+
+    def of_block(block: Column, i: Column) -> Column:
+        single = F.transform(F.filter(F.split(block, "\n"), lambda p: anchored(F.lower(p))), lambda p: F.struct(i.alias("block"), F.lit(True).alias("single"), p.alias("line")))
+        whole = F.array(F.struct(i.alias("block"), F.lit(False).alias("single"), block.alias("line")))
+        return F.concat(single.cast(kind), F.when(F.contains(block, F.lit("\n")) & anchored(flat(block)), whole.cast(kind)).otherwise(F.array().cast(kind)))
+
+    lines = F.when(found, F.flatten(F.transform(F.split("text", r"\r?\n[ \t\r]*\n\s*"), of_block))).otherwise(F.array().cast(kind))
     base = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), lines.alias("lines")), "licence-lines")
-    words = base.where(F.size("lines") > 0).select("rid", F.posexplode("lines").alias("place", "line")).select("rid", "place", words_of(F.col("line")).alias("words"))
+    words = base.where(F.size("lines") > 0).select("rid", F.posexplode("lines").alias("place", "p")).select("rid", "place", "p.block", "p.single", words_of(F.col("p.line")).alias("words"))
 
     def both(w: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
@@ -153,7 +162,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sums = hits.groupBy("rid", "place").agg(*[F.sum(F.col("weight")[k]).alias(f"z{k}") for k in range(len(names))])
     scored = words.join(sums, ["rid", "place"], "left")
     z = F.array(*[F.coalesce(F.col(f"z{k}"), F.lit(0.0)) + F.lit(model.bias[k]) for k in range(len(names))])
-    scored = scored.select("rid", "place", "words", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = scored.select("rid", "place", "block", "single", "words", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     own = F.slice("z", 1, len(names) - 1)
     best = F.array_max(own)
@@ -161,8 +170,13 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     templates = spark.createDataFrame([(f, [sorted(set(plain_words(t))) for t in ts]) for f, ts in TEMPLATES.items()], "guess string, templates array<array<string>>")
     compared = scored.join(F.broadcast(templates), "guess", "left")
     held = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("words"))) >= F.ceil(F.lit(CONFIRMED) * F.size(t)))
-    judged = compared.select("rid", "score", F.coalesce(held, F.lit(False)).alias("confirmed"), F.when(F.col("score") >= model.bar, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"))
+    judged = compared.select("rid", "block", "single", "score", F.coalesce(held, F.lit(False)).alias("confirmed"), F.when(F.col("score") >= model.bar, F.col("guess")).otherwise(F.lit(UNKNOWN)).alias("family"))
     judged = judged.withColumn("confirmed", F.col("confirmed") & (F.col("family") != UNKNOWN))
+    one = F.struct("family", "confirmed", "score")
+    parts = judged.groupBy("rid", "block").agg(F.collect_list(F.when(F.col("single"), one)).alias("own"), F.max(F.when(~F.col("single"), one)).alias("whole"))
+    better = F.coalesce(F.col("whole.confirmed"), F.lit(False)) & ~F.exists("own", lambda p: p["confirmed"] & (p["family"] == F.col("whole.family")))
+    stands = F.when(better, F.concat(F.filter("own", lambda p: p["confirmed"]), F.array("whole"))).when(F.size("own") > 0, F.col("own")).otherwise(F.array("whole"))
+    judged = parts.select("rid", F.explode(stands).alias("p")).select("rid", "p.*")
     order = F.struct("confirmed", F.col("family") != UNKNOWN, "score", "family")
     per = judged.groupBy("rid").agg(F.max_by(F.struct("family", "confirmed", "score"), order).alias("best"), F.count("*").alias("paragraphs"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
     out = base.select("doc_id", "rid").join(per, "rid", "left")

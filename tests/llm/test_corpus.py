@@ -297,6 +297,14 @@ def test_licenses(spark, empty):
     assert got[6].family == "gpl-3.0" and got[6].confirmed
 
 
+def test_wrapped_licence_notice(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software, subject to the\ncopyright notice and this\npermission notice"
+    gpl = "This work is licensed under the GNU General\nPublic License,\nversion 3."
+    texts = [mit, "some prose\n\n" + gpl + "\n\nmore prose", mit + "\n\n" + gpl, "a driver must carry\na valid license", "Proprietary and confidential. All rights\n  reserved. No licence\nis granted."]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].families, got[i].confirmed, got[i].paragraphs) for i in range(5)] == [("mit", True, 1), ("gpl-3.0", True, 1), ("gpl-3.0,mit", True, 2), ("unknown", False, 1), ("proprietary", True, 1)]
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
