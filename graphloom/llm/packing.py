@@ -6,12 +6,12 @@ of the lengths still there finds the fullest feasible filling, and the combinati
 allow.  Pieces then find their place by their rank among the pieces of the same length.
 
 Defined results: a null text is the empty text (one piece holding only the separator); repeated rows are packed once
-each; an empty table gives an empty result; other columns are ignored.
+each; an empty table gives an empty result; other columns are ignored; a very long text is tokenized in segments, whose
+ids are those of the whole; the marker of a special token in a text is that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,33 +27,29 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters of a text that are tokenized at once, and units whose ids a worker remembers.
 SEGMENT, REMEMBERED = 1 << 20, 250_000
-_CUT = re.compile(r" (?=\S)")
-
-
-class _Whitespace(Exception):
-    pass
+VOCABULARY = "byte_bpe_50k.json"
+_CUT, _BEFORE, _RUNS = re.compile(r" (?=\S)"), re.compile(r"(?= \S)"), re.compile(r" \s| $")
 
 
 class Units(dict):
     """Ids, as little-endian bytes, of units of text that begin with one space and end before the next.
 
-    The pre-tokenizer always ends a token before a space that a visible character follows, so the ids of a text
-    are those of its units, one after the other.
+    The pre-tokenizer always ends a token before a space that a visible character follows, and a special token's marker
+    stands apart from the text around it, so the ids of a text are those of its units and markers, one after the other.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(path)
+        special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special, self.markers = special, re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        """The tokenizer's own ids of a whole text."""
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        if unit[:1] == " " and (len(unit) == 1 or unit[1].isspace()):
-            raise _Whitespace
         if len(self) > REMEMBERED:
             self.clear()
         ids = self.encode(unit) if unit else b""
@@ -61,13 +57,20 @@ class Units(dict):
             self[unit] = ids
         return ids
 
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without markers."""
+        if "  " in text or _RUNS.search(text) or "\0" in text:
+            units = _BEFORE.split(text)
+        else:
+            units = text.replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.__getitem__, units))
+
     def segment(self, text: str) -> bytes:
-        if "\0" not in text:
-            try:
-                return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
-            except _Whitespace:
-                pass
-        return self.encode(text)
+        out, at = [], 0
+        for marker in self.markers.finditer(text):
+            out += [self.plain(text[at : marker.start()]), self.special[marker[0]]]
+            at = marker.end()
+        return b"".join([*out, self.plain(text[at:])]) if out else self.plain(text)
 
     def text(self, text: str) -> bytes:
         if len(text) <= SEGMENT:
@@ -84,12 +87,12 @@ class Units(dict):
 _units: dict[str, Units] = {}
 
 
-def units(name: str = "byte_bpe_50k.tiktoken") -> Units:
-    """The worker's own tokenizer; ``byte_bpe_50k.tiktoken`` holds the vocabulary of ``byte_bpe_50k.json`` as ranks."""
+def units(name: str = VOCABULARY) -> Units:
+    """The worker's own tokenizer."""
     if name not in _units:
         import public_tokenizers
 
-        _units[name] = Units(public_tokenizers.path(name), public_tokenizers.PATTERN)
+        _units[name] = Units(public_tokenizers.path(name))
     return _units[name]
 
 
@@ -116,7 +119,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """The token pieces of each document; texts never leave the partition that read them."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _tokenize(it, capacity, vocabulary), PIECES)
 
@@ -192,7 +195,7 @@ def _place(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Packs all documents; returns the pieces with ``sequence_id`` and ``offset``."""
     cut = materialize(with_position(pieces(docs, capacity, vocabulary)), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows

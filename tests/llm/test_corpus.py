@@ -163,7 +163,6 @@ def test_packing(docs, empty):
 
     assert packing.pack(empty).count() == 0
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for doc_id, text, *_ in corpus():
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -195,7 +194,7 @@ def test_units_of_odd_texts():
     own = packing.units()
     rng = random.Random(5)
     for _ in range(200):
-        text = "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "'s", "1", " ", " ", "é", ".", "\0", "don't"]) for _ in range(rng.randrange(30)))
+        text = "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "'s", "1", " ", " ", "é", ".", "\0", "don't", "<|endoftext|>", "\n\n", "   ", "\x1c", "日本"]) for _ in range(rng.randrange(30)))
         assert own.text(text) == own.encode(text)
 
 
