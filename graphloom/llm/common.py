@@ -30,8 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: list[tuple[object, str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes with :func:`release`, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release() -> None:
+    """Deletes all intermediate tables of this driver; frames that still read them can't be used any more."""
+    while _made:
+        try:
+            delete(*_made.pop())
+        except Exception:  # the JVM may be gone; whoever owns the shared folder clears it then
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +76,38 @@ def fresh(taken: Sequence[str], name: str) -> str:
     return name
 
 
+def placed(docs: DataFrame, name: str) -> tuple[DataFrame, Column, Column]:
+    """The rows with two columns, file and row, that tell them apart and are the same in every scan.
+
+    They are a file's hash and a row's number in it.  Rows that don't come straight from files are written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs, name)
+    at = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(at["file_path"]), at["row_index"]
+
+
+#: Bytes of bitmaps of rows that are broadcast; a bitmap has 4 KB for 32,768 rows.
+BITMAPS = 1 << 26
+
+
+def at_places(docs: DataFrame, file: Column, row: Column, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` at the places of ``chosen`` (file, row), all columns.
+
+    One bit a row goes out where all bits are within ``BITMAPS``, so texts aren't shuffled; beyond, a semi-join.
+    """
+    names = [fresh(docs.columns, n) for n in ("file__", "row__", "bucket__", "bits__")]
+    f, r, bucket, bits = names
+    at = docs.select("*", file.alias(f), row.alias(r))
+    maps = materialize(chosen.groupBy(F.col("file").alias(f), F.bitmap_bucket_number("row").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias(bits)), "places")
+    if maps.count() * 4096 > BITMAPS:
+        return at.join(chosen.select(F.col("file").alias(f), F.col("row").alias(r)), [f, r], "left_semi").drop(f, r)
+    place = F.bitmap_bit_position(r)
+    octet = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr(f"1 << int(bitmap_bit_position(`{r}`) % 8)").bitwiseAND(octet) != 0
+    return at.withColumn(bucket, F.bitmap_bucket_number(r)).join(F.broadcast(maps), [f, bucket]).where(held).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def id_crc(doc_id: Column | str) -> Column:
     """CRC-32 of an id written as text; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -6,17 +6,19 @@ whose hash lies under a threshold.  The threshold is found level by level: words
 buckets that fit the budget are taken, the boundary bucket alone is refined by the next bits.  Nothing is sorted.
 
 Defined results: a null or wordless text has size 0; null is a source of its own, last in order; repeated rows are told
-apart by their place in the scan once their hashes agree to the last level; an empty table gives an empty result;
-other columns are ignored.
+apart by their place in their file, whatever the partitions of a scan, once their hashes agree to the last level; an empty
+table gives an empty result; other columns are ignored by :func:`mix` and kept by :func:`mixed`, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small_side
+from .common import fresh, materialize, placed, small_side
 
 WEIGHTS, REPEAT = (1, 2, 3), 3
 #: Bits of a level; levels 0 to 2 take the hash of id and text, 3 and 4 that of the row's place.
@@ -43,12 +45,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int =
     return fits.select("source", "source_size", target.alias("target"))
 
 
-def sized() -> list[Column]:
-    """The columns doc_id, source, size and the bucket of each level."""
+def sized(file: Column, row: Column) -> list[Column]:
+    """The columns doc_id, source, size and the bucket of each level; ``file`` and ``row`` tell repeated rows apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     own = F.xxhash64(F.lit("mix"), "doc_id", F.xxhash64("text"))
-    place = F.xxhash64(F.lit("place"), F.monotonically_increasing_id())
+    place = F.xxhash64(F.lit("place"), file, row)
     bits = lambda h, k: F.shiftrightunsigned(h, 64 - BITS * (k + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
     levels = [bits(own, k) for k in range(3)] + [bits(place, k) for k in range(LEVELS - 3)]
     return [F.col("doc_id"), F.col("source"), size.alias("size"), *[x.alias(f"b{k}") for k, x in enumerate(levels)]]
@@ -95,28 +97,31 @@ def laws(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPE
     return law.select(F.col("source").alias("__own"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), *[F.col(f"cut{k}").alias(f"__cut{k}") for k in range(LEVELS)]), n
 
 
-def copies(bucket: list[Column], repeat: int = REPEAT) -> Column:
-    """How often a document is taken, by its buckets and the law of its source."""
+def copies(bucket: list[Column], law: Callable[[str], Column], repeat: int = REPEAT) -> Column:
+    """How often a document is taken, by its buckets and the law of its source (whole, cut0, cut1, ...)."""
     under = F.lit(False)
     for k in reversed(range(LEVELS)):
-        cut = F.col(f"__cut{k}")
-        under = (bucket[k] < cut) | ((bucket[k] == cut) & under)
-    return (F.col("__whole") + F.when(under & (F.col("__whole") < repeat), 1).otherwise(0)).cast("int")
+        under = (bucket[k] < law(f"cut{k}")) | ((bucket[k] == law(f"cut{k}")) & under)
+    return (law("whole") + F.when(under & (law("whole") < repeat), 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
     """doc_id, size, source_size, target, taken; then source and copies, the number of times a document is taken."""
-    rows = materialize(docs.select(*sized()), "sizes")
+    docs, file, row = placed(docs, "mix-input")
+    rows = materialize(docs.select(*sized(file, row)), "sizes")
     law, n = laws(rows, weights, repeat)
-    out = rows.join(small_side(law, n), F.col("source").eqNullSafe(F.col("__own"))).withColumn("copies", copies([F.col(f"b{k}") for k in range(LEVELS)], repeat))
+    times = copies([F.col(f"b{k}") for k in range(LEVELS)], lambda name: F.col(f"__{name}"), repeat)
+    out = rows.join(small_side(law, n), F.col("source").eqNullSafe(F.col("__own"))).withColumn("copies", times)
     return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    law, n = laws(materialize(docs.select(*sized()), "sizes"), weights, repeat)
-    _, _, _, *bucket = sized()
-    at = docs.select("*", F.struct(*bucket).alias("__b"))
-    ruled = at.join(small_side(law, n), at["source"].eqNullSafe(F.col("__own")))
-    times = copies([F.col(f"__b.b{k}") for k in range(LEVELS)], repeat)
-    return ruled.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__copy")).drop("__copy")
+    docs, file, row = placed(docs, "mix-input")
+    columns = sized(file, row)
+    law, n = laws(materialize(docs.select(*columns), "sizes"), weights, repeat)
+    held, own, rule, copy = (fresh(docs.columns, name) for name in ("buckets__", "own__", "rule__", "copy__"))
+    at = docs.select("*", F.struct(*columns[3:]).alias(held))
+    ruled = at.join(small_side(law.select(F.col("__own").alias(own), F.struct(*[F.col(f"__{c}").alias(c) for c in ("whole", *[f"cut{k}" for k in range(LEVELS)])]).alias(rule)), n), F.col("source").eqNullSafe(F.col(own)))
+    times = copies([F.col(held)[f"b{k}"] for k in range(LEVELS)], lambda name: F.col(rule)[name], repeat)
+    return ruled.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias(copy)).drop(copy)
