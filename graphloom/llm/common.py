@@ -133,8 +133,3 @@ def offset_in(df: DataFrame, keys: list[str], out: str, weight: str | None = Non
     inside = Window.partitionBy(*by).orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return rows.join(starts, by).withColumn(out, F.col("__start") + F.col("__inside")).drop("__start", "__inside")
-
-
-def is_local_path(path: str) -> str:
-    """A path of the shared folder as the operating system names it."""
-    return path.removeprefix("file://").removeprefix("file:")

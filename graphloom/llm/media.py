@@ -2,7 +2,7 @@
 
 An archive is a ZIP file whose members are PNG images (8-bit grey, 576 samples a row).  Member names have a fixed
 length, so every entry of an archive's directory has the same size: partitions are byte ranges of directories,
-planned from the 22 bytes at the end of each archive, and the driver never sees a list of members.  A reader takes its
+planned from a line for each archive, and the driver never sees a list of members.  A reader takes its
 slice of the directory, reads each member at its own offset, checks it, and retries it alone if that fails.
 
 Defined results: a null text is the empty text; an empty payload is one row of bytes 255; repeated rows get members of their
@@ -13,7 +13,6 @@ beyond 4 GB can't occur, as a text is below 2 GB.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import time
 import uuid
@@ -22,11 +21,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import fresh_path, is_local_path
+from .common import fresh_path
 
 ROW, FILL = 576, 255
 #: Members and bytes after which a writer begins another archive; directory entries of a partition; tries of a member.
@@ -91,13 +91,22 @@ def feature(lines: np.ndarray) -> str:
     return f"h={len(lines)};mean={mean:.4f};std={spread:.4f};step={change / (len(lines) * (ROW - 1)):.4f};hist=" + ",".join(map(str, bins.tolist()))
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; any that pyarrow reaches will do (file, hdfs, s3, gs)."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class ArchiveWriter:
     """Writes members one after the other; the directory is kept for the end."""
 
     def __init__(self, folder: str):
-        os.makedirs(folder, exist_ok=True)
-        self.path = os.path.join(folder, uuid.uuid4().hex + ".zip")
-        self.file = open(self.path + ".part", "wb")  # noqa: SIM115
+        self.name = uuid.uuid4().hex + ".zip"
+        store, at = located(folder)
+        store.create_dir(at, recursive=True)
+        self.path = f"{folder}/{self.name}"
+        self.file = store.open_output_stream(f"{at}/{self.name}")
         self.entries: list[bytes] = []
         self.at = 0
 
@@ -118,29 +127,33 @@ class ArchiveWriter:
         n = len(self.entries)
         self.file.write(listed + _END.pack(b"PK\5\6", 0, 0, n, n, len(listed), self.at, 0))
         self.file.close()
-        os.rename(self.path + ".part", self.path)
         return self.path
 
+    def line(self) -> str:
+        """What the list of archives says of this one: name, offset and entries of its directory."""
+        return f"{self.name} {self.at} {len(self.entries)}"
+
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    writer = None
-    paths = []
+    writer, lines = None, []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             writer = writer or ArchiveWriter(folder)
             writer.add(doc_id, png(padded(text.as_py() or b"")))
             if writer.full:
-                paths.append(writer.close())
+                writer.close()
+                lines.append(writer.line())
                 writer = None
     if writer:
-        paths.append(writer.close())
-    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+        writer.close()
+        lines.append(writer.line())
+    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
 
 
 def write_archives(docs: DataFrame, folder: str) -> list[str]:
-    """Stores all payloads in archives under a folder that executors share; returns those of the attempts that counted."""
+    """Stores all payloads in archives under a folder that executors share; returns the lines of the attempts that counted, one for 128 MB."""
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return sorted(r[0] for r in slim.mapInArrow(lambda it: _write(it, folder), "path string").collect())
+    return sorted(r[0] for r in slim.mapInArrow(lambda it: _write(it, folder), "line string").collect())
 
 
 class DirectorySlice(InputPartition):
@@ -162,17 +175,18 @@ def retried(read: Callable[[], bytes], tries: int = TRIES, pause: float = 0.05)
 
 
 def read_range(path: str, begin: int, end: int) -> bytes:
-    with open(path, "rb") as file:
-        file.seek(begin)
-        data = file.read(end - begin)
+    store, at = located(path)
+    with store.open_input_file(at) as file:
+        data = file.read_at(end - begin, begin)
     if len(data) != end - begin:
         raise ValueError(f"{path} ends before byte {end}")
     return data
 
 
 def directory(path: str) -> tuple[int, int]:
-    """(offset, entries) of an archive's directory."""
-    size = os.path.getsize(path)
+    """(offset, entries) of an archive's directory, read from its end."""
+    store, at = located(path)
+    size = store.get_file_info(at).size
     mark, _, _, _, n, listed, at, _ = _END.unpack(read_range(path, size - _END.size, size))
     if mark != b"PK\5\6" or listed != n * (_ENTRY.size + NAME):
         raise ValueError(f"{path} has no directory of entries of one size")
@@ -198,14 +212,14 @@ def members(path: str, begin: int, end: int) -> Iterator[tuple[int | None, bytes
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, folder: str, lines: list[str]):
+        self.folder, self.lines = folder, lines
 
     def partitions(self) -> list[DirectorySlice]:
         out, width = [], _ENTRY.size + NAME
-        for path in self.paths:
-            at, n = directory(path)
-            out += [DirectorySlice(path, at + k * width, at + min(n, k + SLICE) * width) for k in range(0, n, SLICE)]
+        for name, at, n in map(str.split, self.lines):
+            at, n = int(at), int(n)
+            out += [DirectorySlice(f"{self.folder}/{name}", at + k * width, at + min(n, k + SLICE) * width) for k in range(0, n, SLICE)]
         return out or [DirectorySlice("", 0, 0)]
 
     def read(self, partition: DirectorySlice) -> Iterator[pa.RecordBatch]:
@@ -224,7 +238,7 @@ class _Reader(DataSourceReader):
 
 
 class MediaArchives(DataSource):
-    """``spark.read.format("media_archives").load(folder)``: the members of all archives that the folder's list names."""
+    """``spark.read.format("media_archives").load(folder)``: the members of all archives that the folder's list names, by path or URI."""
 
     @classmethod
     def name(cls) -> str:
@@ -234,9 +248,10 @@ class MediaArchives(DataSource):
         return STORED
 
     def reader(self, schema) -> _Reader:
-        folder = is_local_path(self.options["path"])
-        with open(os.path.join(folder, "LIST")) as lines:
-            return _Reader([os.path.join(folder, x) for x in lines.read().split("\n") if x])
+        folder = self.options["path"]
+        store, at = located(folder)
+        with store.open_input_stream(f"{at}/LIST") as lines:
+            return _Reader(folder, [x for x in lines.read().decode().split("\n") if x])
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,12 +273,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store(docs: DataFrame) -> str:
-    """Writes the archives of all documents and their list; returns the folder."""
-    folder = is_local_path(fresh_path(docs.sparkSession, "media"))
-    paths = write_archives(docs, folder)
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "LIST"), "w") as out:
-        out.write("\n".join(os.path.basename(p) for p in paths))
+    """Writes the archives of all documents and their list; returns the folder.  Archives of attempts that failed are deleted."""
+    folder = fresh_path(docs.sparkSession, "media")
+    lines = write_archives(docs, folder)
+    held, at = located(folder)
+    held.create_dir(at, recursive=True)
+    named = {x.split()[0] for x in lines}
+    for info in held.get_file_info(fs.FileSelector(at)):
+        if info.base_name not in named:
+            held.delete_file(info.path)
+    with held.open_output_stream(f"{at}/LIST") as out:
+        out.write("\n".join(lines).encode())
     return folder
 
 

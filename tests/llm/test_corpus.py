@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables with every awkward row."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -114,8 +115,17 @@ def test_media(docs, empty, tmp_path):
     by = defaultdict(set)
     rows = media.media_columns(docs).collect()
     assert len(rows) == len(corpus())
-    texts = Counter((r[0], len((r[1] or "").encode())) for r in corpus())
-    assert Counter((r.doc_id, r.n_bytes) for r in rows) == texts
+    expected = Counter()
+    for doc_id, text, *_ in corpus():
+        own = (text or "").encode()
+        whole = own + b"\xff" * (-len(own) % 576 if own else 576)
+        image = media.png(whole)
+        v = np.frombuffer(whole, np.uint8).astype(float)
+        steps = np.abs(np.diff(v.reshape(-1, 576), axis=1)).sum() / (len(v) // 576 * 575)
+        bins = ",".join(str(int(((v >= 32 * k) & (v < 32 * k + 32)).sum())) for k in range(8))
+        text_of = f"h={len(v) // 576};mean={v.mean():.4f};std={v.std():.4f};step={steps:.4f};hist={bins}"
+        expected[doc_id, len(own), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(image), hashlib.sha256(image).hexdigest(), text_of] += 1
+    assert Counter(tuple(r) for r in rows) == expected
     for r in rows:
         by[r.payload_sha256].add((r.media_sha256, r.feature))
         assert r.payload_bytes % 576 == 0 and r.payload_bytes > 0
@@ -125,6 +135,7 @@ def test_media(docs, empty, tmp_path):
         writer.add(i, media.png(media.padded(b"text %d" % (i or 0))))
     path = writer.close()
     at, n = media.directory(path)
+    assert writer.line().split() == [path.rpartition("/")[2], str(at), str(n)]
     got = list(media.members(path, at, at + n * (media._ENTRY.size + media.NAME)))
     assert [g[0] for g in got] == [5, None, -3] and media.samples(got[0][1]).tobytes() == media.padded(b"text 5")
     data = bytearray(open(path, "rb").read())
