@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.durable import BROADCAST_ROWS, durable, fixpoint, small
 
@@ -31,11 +34,16 @@ def pagerank(ids: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: in
         home = ids.join(seeds.select("id", F.lit(1.0 / k).alias("home")).distinct(), "id", "left").fillna(0.0, ["home"])
     home = durable(home.join(total.select(F.col("src").alias("id"), F.lit(True).alias("flows")), "id", "left"), "pagerank-home")
     state = home.select("id", F.col("home").alias("score"))
-    for _ in range(rounds):
+    loose = not home.where("flows is null").isEmpty()
+    for k in range(rounds):
         inflow = share.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("score")).alias("inflow"))
-        loose = state.join(home.where("flows is null"), "id", "left_semi").agg(F.sum("score")).first()[0] or 0.0
-        mixed = home.join(inflow, "id", "left").select("id", (F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + F.lit(loose) * F.col("home")) + F.lit(1 - damping) * F.col("home")).alias("score"))
-        state = durable(mixed, "pagerank")
+        both = home.join(inflow, "id", "left")
+        if loose:  # the mass of nodes without edges: one row, joined to every node
+            both = both.join(F.broadcast(state.join(home.where("flows is null"), "id", "left_semi").agg(F.sum("score").alias("loose"))))
+        mass = F.coalesce("loose", F.lit(0.0)) if loose else F.lit(0.0)
+        state = both.select("id", (F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + mass * F.col("home")) + F.lit(1 - damping) * F.col("home")).alias("score"))
+        if loose or k % 5 == 4:
+            state = durable(state, "pagerank")
     return state
 
 
@@ -77,47 +85,126 @@ def weak_components(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(stars.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def strong_components(ids: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """(id, component) by forward-backward colouring: the smallest id of a colour's backward reach closes one component a colour and round."""
+def strong_components(ids: DataFrame, edges: DataFrame, small_edges: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, component), by the smallest id of each.
+
+    Nodes without a way in or out are components of their own.  Of the rest the smallest id of a colour's backward reach closes
+    a component a colour and round; once at most ``small_edges`` edges are left, one task finishes them.
+    """
     left = durable(ids.select("id").distinct(), "scc")
     edge = durable(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
     done = None
-    for _ in range(most):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
+        if edge.count() <= small_edges:
+            last = _in_one_task(edge, _tarjan, "id string, component string")
+            closed = left.join(last, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+            return closed if done is None else done.unionByName(closed)
+        on_both = edge.select(F.col("src").alias("id")).intersect(edge.select(F.col("dst").alias("id")))
+        alone = durable(left.join(on_both, "id", "left_anti").select("id", F.col("id").alias("component")), "scc-alone")
+        mine = durable(left.join(on_both, "id", "left_semi"), "scc")
+        edge = durable(edge.join(mine.select(F.col("id").alias("src")), "src", "left_semi").join(mine.select(F.col("id").alias("dst")), "dst", "left_semi"), "scc-edges")
         # Colour: the smallest id from which a node can be reached.
-        colour = fixpoint(left.select("id", F.col("id").alias("colour")), lambda s: _spread(s, edge, "src", "dst"), name="scc-colour")
+        colour = fixpoint(mine.select("id", F.col("id").alias("colour")), lambda s, e=edge: _spread(s, e, "src", "dst"), name="scc-colour")
         same = durable(edge.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd").select("src", "dst"), "scc-edges")
         # Back from the colour's own node, inside the colour.
-        back = fixpoint(colour.select("id", F.when(F.col("id") == F.col("colour"), F.col("colour")).alias("colour")), lambda s: _spread(s, same, "dst", "src"), name="scc-back")
-        closed = durable(back.where("colour is not null").select("id", F.col("colour").alias("component")), "scc-closed")
+        back = fixpoint(colour.select("id", F.when(F.col("id") == F.col("colour"), F.col("colour")).alias("colour")), lambda s, e=same: _spread(s, e, "dst", "src"), name="scc-back")
+        closed = durable(back.where("colour is not null").select("id", F.col("colour").alias("component")).unionByName(alone), "scc-closed")
         done = closed if done is None else done.unionByName(closed)
         left = durable(left.join(closed, "id", "left_anti"), "scc")
         edge = durable(same.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"), "scc-edges")
     return done if done is not None else ids.select("id", F.col("id").alias("component"))
 
 
+def _in_one_task(edge: DataFrame, solve: Callable[[list[tuple[str, str]]], dict[str, object]], schema: str) -> DataFrame:
+    """``solve`` over edges whose number was measured to be small, in an executor."""
+
+    def run(frames):
+        pairs = [p for f in frames for p in zip(f.iloc[:, 0].tolist(), f.iloc[:, 1].tolist())]
+        found = solve(pairs)
+        names = [c.split()[0] for c in schema.split(", ")]
+        yield pd.DataFrame({names[0]: pd.Series(list(found), dtype=object), names[1]: list(found.values())})
+
+    return edge.coalesce(1).mapInPandas(run, schema)
+
+
+def _tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    out: dict[str, list[str]] = defaultdict(list)
+    for a, b in pairs:
+        out[a].append(b)
+    index, low, held, stack, found = {}, {}, set(), [], {}
+    for root in {n for p in pairs for n in p}:
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        held.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    held.add(w)
+                    work.append((w, iter(out[w])))
+                    break
+                if w in held:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    own = []
+                    while not own or own[-1] != v:
+                        own.append(stack.pop())
+                        held.discard(own[-1])
+                    least = min(own)
+                    found.update(dict.fromkeys(own, least))
+    return found
+
+
 def _spread(state: DataFrame, edge: DataFrame, here: str, there: str) -> DataFrame:
     """Each node takes the smallest colour among itself and the nodes before it."""
     sent = edge.join(state.select(F.col("id").alias(here), "colour"), here).groupBy(F.col(there).alias("id")).agg(F.min("colour").alias("sent"))
     return state.join(sent, "id", "left").select("id", F.least("colour", "sent").alias("colour"))
 
 
-def k_core(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, k): the coreness, as the fixpoint of the h-index of the neighbours' values."""
+def k_core(ids: DataFrame, edges: DataFrame, small_edges: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, k): the coreness.  Up to ``small_edges`` edges one task peels them; beyond, it is the fixpoint of the h-index of the neighbours' values."""
     near = durable(undirected(edges), "kcore-edges")
-    degree = near.groupBy(F.col("a").alias("id")).agg(F.count("*").cast("int").alias("k"))
+    if near.count() <= 2 * small_edges:
+        cores = _in_one_task(near, _peeled, "id string, k int")
+    else:
+        cores = fixpoint(near.groupBy(F.col("a").alias("id")).agg(F.count("*").cast("int").alias("k")), lambda s: _h_index(s, near), name="kcore")
+    return ids.join(cores, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"))
 
-    def step(state: DataFrame) -> DataFrame:
-        seen = near.join(state.select(F.col("id").alias("b"), "k"), "b").groupBy("a", "k").agg(F.count("*").alias("n"))
-        from pyspark.sql.window import Window
 
-        run = seen.withColumn("over", F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("k"))))
-        h = run.groupBy(F.col("a").alias("id")).agg(F.max(F.least(F.col("k").cast("long"), F.col("over"))).cast("int").alias("h"))
-        return state.join(h, "id", "left").select("id", F.least("k", F.coalesce("h", F.lit(0))).alias("k"))
-
-    cores = fixpoint(degree, step, name="kcore")
-    return ids.join(cores, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"))
+def _h_index(state: DataFrame, near: DataFrame) -> DataFrame:
+    seen = near.join(state.select(F.col("id").alias("b"), "k"), "b").groupBy("a", "k").agg(F.count("*").alias("n"))
+    run = seen.withColumn("over", F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("k"))))
+    h = run.groupBy(F.col("a").alias("id")).agg(F.max(F.least(F.col("k").cast("long"), F.col("over"))).cast("int").alias("h"))
+    return state.join(h, "id", "left").select("id", F.least("k", F.coalesce("h", F.lit(0))).alias("k"))
+
+
+def _peeled(pairs: list[tuple[str, str]]) -> dict[str, int]:
+    near: dict[str, set[str]] = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+    degree = {v: len(n) for v, n in near.items()}
+    heap, core, k = [(d, v) for v, d in degree.items()], {}, 0
+    heapq.heapify(heap)
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v in core or d > degree[v]:
+            continue
+        k = max(k, d)
+        core[v] = k
+        for w in near[v]:
+            if w not in core:
+                degree[w] -= 1
+                heapq.heappush(heap, (degree[w], w))
+    return core
 
 
 def label_communities(ids: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -146,14 +233,37 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * squares / (2 * total) ** 2
 
 
-def betweenness(ids: DataFrame, edges: DataFrame, pivots: int = 256) -> DataFrame:
-    """(id, score): Brandes from each node, or from ``pivots`` chosen by hash and scaled; the adjacency goes out only below a checked size."""
-    near = edges.select("src", "dst").where("src <> dst").distinct()
-    size = near.count()
-    if size > BROADCAST_ROWS:
-        raise ValueError(f"{size} edges are beyond what is sent to every executor; contract the graph first")
+def _leaning(chosen: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, score) of Brandes' sums from all pivots at once: levels forward by joins, then back."""
+    level = durable(chosen.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("ways")), "between")
+    seen, levels = level.select("pivot", "id"), [level]
+    while True:
+        hop = level.join(near.withColumnRenamed("src", "id"), "id").groupBy("pivot", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
+        level = durable(hop.join(seen, ["pivot", "id"], "left_anti"), "between")
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("pivot", "id"))
+    lean, out = None, None
+    for depth in range(len(levels) - 1, 0, -1):
+        own = levels[depth].withColumn("lean", F.lit(0.0)) if lean is None else levels[depth].join(lean, ["pivot", "id"], "left").fillna(0.0, ["lean"])
+        own = durable(own, "between")
+        out = own.select("id", "lean") if out is None else out.unionByName(own.select("id", "lean"))
+        told = own.select("pivot", F.col("id").alias("dst"), F.col("ways").alias("below"), F.col("lean").alias("under")).join(near, "dst")
+        lean = told.join(levels[depth - 1].withColumnRenamed("id", "src"), ["pivot", "src"]).groupBy("pivot", F.col("src").alias("id")).agg(F.sum(F.col("ways") / F.col("below") * (1 + F.col("under"))).alias("lean"))
+    if out is None:
+        return chosen.select("id", F.lit(0.0).alias("score"))
+    return out.groupBy("id").agg(F.sum("lean").alias("score"))
+
+
+def betweenness(ids: DataFrame, edges: DataFrame, pivots: int = 256, small_edges: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, score): Brandes from each node, or from ``pivots`` chosen by hash and scaled; the adjacency goes out only below a checked size, beyond it levels are joins."""
+    near = durable(edges.select("src", "dst").where("src <> dst").distinct(), "between-edges")
     n = ids.count()
-    chosen = ids if n <= pivots else ids.orderBy(F.xxhash64("id"), "id").limit(pivots)
+    chosen = ids.select("id") if n <= pivots else ids.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
+    if near.count() > small_edges:
+        part = _leaning(chosen, near).withColumn("score", F.col("score") * (n / min(n, pivots)))
+        return ids.join(part, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
     adjacency: dict[str, list[str]] = defaultdict(list)
     for r in near.orderBy("src", "dst").collect():  # at most BROADCAST_ROWS rows
         adjacency[r[0]].append(r[1])
@@ -182,7 +292,7 @@ def betweenness(ids: DataFrame, edges: DataFrame, pivots: int = 256) -> DataFram
                         score[t] += lean[t] * scale
         yield pd.DataFrame({"id": pd.Series(list(score), dtype=object), "score": pd.Series(list(score.values()), dtype=float)})
 
-    part = chosen.repartition(8, "id").mapInPandas(brandes, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    part = chosen.repartition("id").mapInPandas(brandes, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
     return ids.join(part, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.model import Graph, rank
 
@@ -127,9 +126,13 @@ def tier_caveat(edges: DataFrame, origin: str) -> DataFrame:
 
 
 def suppress_text(edges: DataFrame) -> DataFrame:
-    """Drops text matches to a target that better evidence also reaches; edges without an origin stay."""
-    best = F.max(F.when(F.col("origin") != "", rank(F.col("origin")))).over(Window.partitionBy("dst"))
-    return edges.withColumn("__best", best).where(~((F.col("origin") == "text_matched") & (F.coalesce("__best", F.lit(0)) > rank(F.lit("text_matched"))))).drop("__best")
+    """Drops text matches to a target that better evidence also reaches; edges without an origin stay.
+
+    Targets with better evidence are combined before they move, and of the edges only text matches do.
+    """
+    text = F.col("origin") == "text_matched"
+    better = edges.where(rank(F.col("origin")) > rank(F.lit("text_matched"))).select("dst").distinct()
+    return edges.where(~text | F.col("origin").isNull()).unionByName(edges.where(text).join(better, "dst", "left_anti").select(*edges.columns))
 
 
 def scope_graph(graph: Graph, keep: Column) -> Graph:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import trigrams
+from ..plans.durable import ranked
 
 
 def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -116,7 +117,7 @@ def diversify(rows: DataFrame, group: str, position: str, key: str, cap: int) ->
     """Adds ``place``: the first ``cap`` rows of a group keep their order, the rest follow all of them; 0 is off, empty groups are never over."""
     within = F.row_number().over(Window.partitionBy(group).orderBy(position, key))
     over = (F.lit(cap) > 0) & (F.col(group) != "") & (within > cap)
-    return rows.withColumn("__over", over).withColumn("place", F.row_number().over(Window.orderBy("__over", position, key))).drop("__over")
+    return ranked(rows.withColumn("__over", over), ["__over", position, key], "place").withColumn("place", F.col("place") + 1).drop("__over")
 
 
 def pack(items: Sequence[tuple[str, int]], budget: int) -> list[str]:
@@ -154,17 +155,21 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, chunk: int = 4096) -> Da
         ids, q = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
 
         def search(frames, ids=ids, q=q):
+            held_score, held_id = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), np.int64)
             for frame in frames:
                 frame = frame[frame["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if not len(frame):
-                    continue
-                own = frame["vec_id"].to_numpy()
-                score = np.round(q @ np.stack(frame["embedding"].to_numpy()).astype(float).T, 4)
-                score[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1)
-                keep = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]).reshape(order.shape)[keep], "vec_id": own[order][keep], "score": best[keep]})
+                for at in range(0, len(frame), 1024):
+                    block = frame.iloc[at : at + 1024]
+                    own = block["vec_id"].to_numpy()
+                    score = np.round(q @ np.stack(block["embedding"].to_numpy()).astype(float).T, 4)
+                    score[ids[:, None] == own[None, :]] = -np.inf
+                    score, own = np.hstack([held_score, score]), np.hstack([held_id, np.broadcast_to(own, score.shape)])
+                    if score.shape[1] > k:  # all that reach the k-th best, then the smaller ids among equals
+                        order = np.lexsort((own, -score), axis=1)[:, :k]
+                        score, own = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
+                    held_score, held_id = score, own
+            keep = np.isfinite(held_score)
+            yield pd.DataFrame({"query_id": np.repeat(ids, held_score.shape[1]).reshape(held_score.shape)[keep], "vec_id": held_id[keep], "score": held_score[keep]})
 
         part = vectors.select("vec_id", "embedding").mapInPandas(search, "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)

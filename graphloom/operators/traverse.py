@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.durable import durable
+from ..plans.durable import durable, small
 
 
 def oriented(edges: DataFrame, direction: str, kinds: Sequence[str]) -> DataFrame:
@@ -20,26 +20,34 @@ def oriented(edges: DataFrame, direction: str, kinds: Sequence[str]) -> DataFram
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = ("calls",), depth: int = 3, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, depth, parent, edge_kind): the shortest way to each node, ties to the smallest parent, then kind; seeds at depth 0."""
-    steps = oriented(edges, direction, kinds).distinct()
+def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = ("calls",), depth: int | None = 3, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, depth, parent, edge_kind): the shortest way to each node, ties to the smallest parent, then kind; seeds at depth 0.
+
+    Without ``depth`` hops go on until nothing is new.  The steps are written once; each hop sends out its measured frontier
+    where that is small, so edges aren't shuffled, and joins by key where it isn't.
+    """
+    steps = oriented(edges, direction, kinds)
+    if depth is None or depth > 1:
+        steps = durable(steps, "steps")
     start = seeds.select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_kind")).distinct()
     visited = frontier = durable(start, "bfs")
-    for level in range(1, depth + 1):
-        hop = frontier.select(F.col("node").alias("here")).join(steps, "here").groupBy(F.col("there").alias("node")).agg(F.min(F.struct(F.col("here").alias("parent"), F.col("kind").alias("edge_kind"))).alias("way"))
+    n, level = frontier.count(), 0
+    while n and (depth is None or level < depth):
+        level += 1
+        hop = steps.join(small(frontier.select(F.col("node").alias("here")), n), "here").groupBy(F.col("there").alias("node")).agg(F.min(F.struct(F.col("here").alias("parent"), F.col("kind").alias("edge_kind"))).alias("way"))
         fresh = hop.join(visited.select("node"), "node", "left_anti")
         if nodes is not None:
             fresh = fresh.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
         frontier = durable(fresh.select("node", F.lit(level).alias("depth"), "way.parent", "way.edge_kind"), "bfs")
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
+        n = frontier.count()
+        if n:
+            visited = visited.unionByName(frontier)
     return visited
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = ("calls",), most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "out", kinds: Sequence[str] = ("calls",)) -> DataFrame:
     """The nodes that any number of steps reach, seeds included."""
-    return bfs(edges, seeds, direction, kinds, most).select("node")
+    return bfs(edges, seeds, direction, kinds, None).select("node")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int = 6, most: int | None = None) -> DataFrame:
@@ -49,12 +57,23 @@ def closure(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int
 
 
 def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame | None, kinds: Sequence[str], depth: int) -> DataFrame:
-    """(source, sink, length, path): all simple paths of at most ``depth`` steps, a node being the way to itself."""
-    steps = edges.where(F.col("kind").isin(*kinds)).select(F.col("src").alias("here"), F.col("dst").alias("there")).distinct()
+    """(source, sink, length, path): all simple paths of at most ``depth`` steps, a node being the way to itself.
+
+    With sinks a path only goes on to nodes from which a sink can still be reached in the steps left.
+    """
+    steps = durable(edges.where(F.col("kind").isin(*kinds)).select(F.col("src").alias("here"), F.col("dst").alias("there")).distinct(), "steps")
+    left = None
+    if sinks is not None:
+        back = steps.select(F.col("here").alias("src"), F.col("there").alias("dst"), F.lit("step").alias("kind"))
+        left = durable(bfs(back, sinks, "in", ["step"], depth).select(F.col("node").alias("here"), F.col("depth").alias("need")), "need")
     level = sources.select(F.col("id").alias("source"), F.col("id").alias("here"), F.array("id").alias("path"))
+    if left is not None:
+        level = level.join(left, "here", "left_semi").select("source", "here", "path")
     found = [level]
-    for _ in range(depth):
+    for k in range(1, depth + 1):
         level = level.join(steps, "here").where(~F.array_contains("path", F.col("there"))).select("source", F.col("there").alias("here"), F.array_append("path", F.col("there")).alias("path"))
+        if left is not None:
+            level = level.join(left.where(F.col("need") <= depth - k), "here", "left_semi").select("source", "here", "path")
         level = durable(level, "paths")
         found.append(level)
         if level.isEmpty():
@@ -63,12 +82,12 @@ def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame | None, kinds:
     return out if sinks is None else out.join(sinks.select(F.col("id").alias("sink")), "sink", "left_semi").select(*out.columns)
 
 
-def hierarchy(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], up: bool = True, depth: int = 16) -> DataFrame:
-    """(seed, node, path, edge_kinds): the chain of each seed through a hierarchy, every ancestor (or heir) once, by its first way."""
+def hierarchy(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], up: bool = True, depth: int | None = None) -> DataFrame:
+    """(seed, node, path, edge_kinds): the chain of each seed through a hierarchy, every ancestor (or heir) once, by its first way; to its end without ``depth``."""
     steps = oriented(edges, "out" if up else "in", kinds).distinct()
     level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("here"), F.array("id").alias("path"), F.array().cast("array<string>").alias("kinds"))
     seen, found = level.select("seed", F.col("here").alias("node")), []
-    for _ in range(depth):
+    while depth is None or len(found) < depth:
         hop = level.join(steps, "here").groupBy("seed", F.col("there").alias("node")).agg(F.min(F.struct(F.array_append("path", F.col("there")).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds"))).alias("way"))
         hop = durable(hop.join(seen, ["seed", "node"], "left_anti").select("seed", "node", "way.path", "way.kinds"), "hierarchy")
         if hop.isEmpty():
@@ -81,9 +100,9 @@ def hierarchy(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], up: bool
     return reduce(DataFrame.unionByName, found).withColumnRenamed("kinds", "edge_kinds")
 
 
-def call_ancestors(edges: DataFrame, targets: DataFrame, kinds: Sequence[str], most: int = 64) -> DataFrame:
+def call_ancestors(edges: DataFrame, targets: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """The edges into the inverse closure of the targets, repeated ones kept for fan-in."""
-    inside = reachable(edges, targets, "in", kinds, most)
+    inside = reachable(edges, targets, "in", kinds)
     mine = edges.where(F.col("kind").isin(*kinds))
     return mine.join(inside.select(F.col("node").alias("dst")), "dst", "left_semi")
 

@@ -94,7 +94,7 @@ def _(s, d):
     return pairs.groupBy(F.col("f_src").alias("file")).agg(F.array_join(F.sort_array(F.collect_set("f_dst")), ",").alias("imports"))
 
 
-@query("edge_identity_lookup", duck("SELECT e.src, e.dst, e.kind, e.file_path, e.line, e.origin FROM edges e WHERE (e.src, e.dst, e.kind, e.file_path, e.line) IN (SELECT src, dst, kind, file_path, line FROM edges WHERE kind = 'member_of')"))
+@query("edge_identity_lookup", duck("WITH k AS MATERIALIZED (SELECT DISTINCT src, dst, kind, file_path, line FROM edges WHERE kind = 'member_of') SELECT e.src, e.dst, e.kind, e.file_path, e.line, e.origin FROM edges e JOIN k USING (src, dst, kind, file_path, line)"))
 def _(s, d):
     e = supply(s, d).edges
     key = ["src", "dst", "kind", "file_path", "line"]
@@ -304,8 +304,9 @@ def _(s, d):
 
 
 @query("dataflow_paths_len3", duck("""
-    WITH st AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('calls', 'references', 'depends_on'))
-    SELECT a.src AS source, c.dst AS sink, CAST(3 AS INTEGER) AS length, concat(a.src, '>', a.dst, '>', b.dst, '>', c.dst) AS path FROM st a JOIN st b ON b.src = a.dst JOIN st c ON c.src = b.dst WHERE a.src = 'c1' AND c.dst IN (SELECT id FROM nodes WHERE kind = 'interface')"""))
+    WITH st AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('calls', 'references', 'depends_on')),
+    a AS MATERIALIZED (SELECT src, dst FROM st WHERE src = 'c1'), b AS MATERIALIZED (SELECT src, dst FROM st WHERE src IN (SELECT dst FROM a))
+    SELECT a.src AS source, c.dst AS sink, CAST(3 AS INTEGER) AS length, concat(a.src, '>', a.dst, '>', b.dst, '>', c.dst) AS path FROM a JOIN b ON b.src = a.dst JOIN st c ON c.src = b.dst WHERE c.dst IN (SELECT id FROM nodes WHERE kind = 'interface')"""))
 def _(s, d):
     g = supply(s, d)
     p = tr.paths(g.edges, s.createDataFrame([("c1",)], "id string"), g.nodes.where("kind = 'interface'").select("id"), ["calls", "references", "depends_on"], 3)

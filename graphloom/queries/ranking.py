@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..operators import dedup as dd
 from ..operators import retrieval as rt
-from ..plans.durable import durable
+from ..plans.durable import durable, ranked
 from ..plans.registry import query
 from ..sources.tables import table
 
@@ -121,11 +121,11 @@ def _(s, d):
 
 
 @query("knn_top5", """
-    WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE label = 0)
+    WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)
     SELECT query_id, vec_id, score FROM (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q[i] AS DOUBLE) * embedding[i])), 4) AS score FROM q JOIN embeddings ON vec_id <> query_id)
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
 def _(s, d):
-    return rt.knn(table(s, d, "embeddings").where("label = 0"), table(s, d, "embeddings"), 5)
+    return rt.knn(table(s, d, "embeddings").where("vec_id % 20 = 0"), table(s, d, "embeddings"), 5)
 
 
 @query("label_centroids", "SELECT label, dim, round(avg(v), 4) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY 1, 2")
@@ -134,13 +134,13 @@ def _(s, d):
     return e.groupBy("label", (F.col("dim") + 1).cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("mean"))
 
 
-_RANKED = "WITH r AS (SELECT doc_id AS id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS text_rank, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS vector_rank FROM documents WHERE lang = 'de')"
+_RANKED = "WITH r AS (SELECT doc_id AS id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS text_rank, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS vector_rank FROM documents)"
 
 
 def _ranked(s, d):
-    docs = table(s, d, "documents").where("lang = 'de'")
-    a, b = Window.orderBy(F.desc("n_chars"), "doc_id"), Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return docs.select(F.col("doc_id").alias("id"), "source", (F.row_number().over(a) - 1).alias("text_rank"), (F.row_number().over(b) - 1).alias("vector_rank"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    by_length = ranked(docs, [F.desc("n_chars"), F.col("id")], "text_rank")
+    return ranked(by_length, [F.md5(F.col("id").cast("string")), F.col("id")], "vector_rank").drop("n_chars")
 
 
 @query("rrf_fusion", _RANKED + " SELECT id, round(0.7 / (60 + text_rank + 1) + 0.3 / (60 + vector_rank + 1), 9) AS score FROM r")

@@ -37,7 +37,8 @@ _UNITS = "WITH u AS (SELECT id, array_to_string(list_slice(string_split(file_pat
 def _(s, d):
     g = supply(s, d)
     u = g.nodes.select("id", F.array_join(F.slice(F.split("file_path", "/"), 1, 2), "/").alias("unit"))
-    pair = g.edges.select("src", "dst").join(u.select(F.col("id").alias("src"), F.col("unit").alias("f")), "src").join(u.select(F.col("id").alias("dst"), F.col("unit").alias("t")), "dst").where("f <> t").select("f", "t").distinct()
+    half = g.edges.select("src", "dst").join(u.select(F.col("id").alias("src"), F.col("unit").alias("f")), "src").select("f", "dst").distinct()
+    pair = half.join(u.select(F.col("id").alias("dst"), F.col("unit").alias("t")), "dst").where("f <> t").select("f", "t").distinct()
     out = u.groupBy("unit").agg(F.count("*").alias("members")).join(pair.groupBy(F.col("f").alias("unit")).agg(F.count("*").alias("ce")), "unit", "left").join(pair.groupBy(F.col("t").alias("unit")).agg(F.count("*").alias("ca")), "unit", "left").fillna(0, ["ca", "ce"])
     both = F.col("ca") + F.col("ce")
     return out.select("unit", "members", "ca", "ce", F.when(both == 0, F.lit(0.0)).otherwise(F.round(F.col("ce") / both, 6)).alias("instability"))
@@ -55,8 +56,9 @@ _DEG = "d AS (SELECT n.id, n.end_line - n.start_line + 1 AS lines, coalesce(i.n,
 
 def _degrees(g):
     e = fl.by_kinds(g.edges, ["calls", "references"]).select("src", "dst").distinct()
-    i, o = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fi")), e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fo"))
-    return g.nodes.select("id", "kind", "name", "file_path", (F.col("end_line") - F.col("start_line") + 1).alias("lines")).join(i, "id", "left").join(o, "id", "left").fillna(0, ["fi", "fo"])
+    ends = e.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(e.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    both = ends.groupBy("id").agg(F.sum("i").alias("fi"), F.sum("o").alias("fo"))
+    return g.nodes.select("id", "kind", "name", "file_path", (F.col("end_line") - F.col("start_line") + 1).alias("lines")).join(both, "id", "left").fillna(0, ["fi", "fo"])
 
 
 @query("role_classify", duck(f"WITH {_DEG} SELECT id, CASE WHEN fi = 0 AND fo = 0 THEN 'dead' WHEN fi = 0 THEN 'entry' WHEN fo = 0 AND fi < 3 THEN 'leaf' WHEN fi = 1 AND fo = 1 THEN 'adapter' WHEN fi >= 3 AND fo <= 2 AND lines <= 30 THEN 'utility' ELSE 'core' END AS role FROM d"))

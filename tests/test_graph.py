@@ -50,6 +50,39 @@ def test_k_core_of_a_clique_with_a_leaf(spark):
     assert pairs(an.k_core(ids(spark, "a b c d leaf alone"), e)) == {"a": 3, "b": 3, "c": 3, "d": 3, "leaf": 1, "alone": 0}
 
 
+def test_long_paths_and_rings(spark):
+    n = 300
+    names = [f"v{i:03d}" for i in range(n)]
+    path = edges(spark, " ".join(f"{a}>{b}" for a, b in zip(names, names[1:])))
+    ring = path.unionByName(edges(spark, f"{names[-1]}>{names[0]}"))
+    nodes = ids(spark, " ".join(names))
+    assert set(pairs(an.k_core(nodes, path)).values()) == {1} and set(pairs(an.k_core(nodes, ring)).values()) == {2}
+    assert pairs(an.cycles(nodes, ring)) == {"v000": n} and an.cycles(nodes, path).count() == 0
+    assert set(pairs(an.strong_components(nodes, path)).items()) == {(v, v) for v in names}
+
+
+def test_reach_and_hierarchy_go_to_the_end(spark):
+    names = [f"v{i:02d}" for i in range(70)]
+    path = edges(spark, " ".join(f"{a}>{b}" for a, b in zip(names, names[1:])))
+    assert {r.node for r in tr.reachable(path, ids(spark, "v00")).collect()} == set(names)
+    up = tr.hierarchy(edges(spark, " ".join(f"{a}>{b}" for a, b in zip(names[:20], names[1:20])), "extends"), ids(spark, "v00"), ["extends"])
+    assert {r.node for r in up.collect()} == set(names[1:20])
+
+
+def test_distributed_forms_agree_with_those_in_one_task(spark):
+    e = edges(spark, "a>b b>c c>a d>e e>f f>d c>d hub>a x>y")
+    nodes = ids(spark, "a b c d e f hub x y alone")
+    assert pairs(an.strong_components(nodes, e, small_edges=-1)) == pairs(an.strong_components(nodes, e))
+    assert pairs(an.k_core(nodes, e, small_edges=-1)) == pairs(an.k_core(nodes, e))
+    assert pairs(an.betweenness(nodes, e, small_edges=-1)) == pytest.approx(pairs(an.betweenness(nodes, e)))
+
+
+def test_paths_with_and_without_sinks(spark):
+    e = edges(spark, "a>b b>c c>d a>c d>a c>e", "value_flow")
+    every = {tuple(r.path) for r in tr.paths(e, ids(spark, "a"), None, ["value_flow"], 3).collect()}
+    assert {tuple(r.path) for r in tr.paths(e, ids(spark, "a"), ids(spark, "d e"), ["value_flow"], 3).collect()} == {p for p in every if p[-1] in "de"}
+
+
 def test_pagerank_sums_to_one_and_a_restart_reaches_only_its_own(spark):
     e = an.outgoing(edges(spark, "s>s1 s1>s2 u>u1"))
     nodes = ids(spark, "s s1 s2 u u1")
