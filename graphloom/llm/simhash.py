@@ -5,8 +5,8 @@ vectors v there is a table whose mask keeps the bits with odd inner product with
 hyperplane, so some mask drops all bits in which two linked fingerprints differ: they collide in that table, always.
 
 Work is done on distinct fingerprints; copies never meet in pairs.  Colliding runs stream in sorted order: short ones are
-compared and leave a spanning forest, longer ones go to a second set of masks within the run, and what is still
-too long is compared block against block.  Components come from star contraction over the links, in the cluster.
+compared and leave a spanning forest, longer ones go to a second, third and fourth set of masks within the run; what then
+still collides has a dozen free bits at most, so its runs are some thousands long and are compared whole.  Components come from star contraction over the links, in the cluster.
 
 Defined results: a null, empty or wordless text has fingerprint 0 and links like any other; a null id never becomes a
 component's id while another id is there; repeated rows stay one row each; an empty table gives an empty result;
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import at_places, materialize, placed
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
 #: Words of a shingle and similarity of near duplicates where op1's contract doesn't rule; bands of least hashes and hashes of a band,
@@ -207,85 +207,93 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the smallest doc_id stays, all columns kept."""
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(_hashed, "doc_id long, th long, fp long"), "fingerprints")
-    return _least(docs, rows.join(classes(rows, radius), "fp"))
+    docs, file, row = placed(docs, "dedup-input")
+    keyed = docs.select(F.col("doc_id").cast("long"), file.alias("file"), row.alias("row"), F.col("text").cast("binary").alias("text"))
+    rows = materialize(keyed.mapInArrow(_hashed, "doc_id long, file long, row long, fp long"), "fingerprints")
+    return at_places(docs, file, row, _least(rows.join(classes(rows, radius), "fp")))
 
 
-def _least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each root of ``found`` (doc_id, th, root)."""
-    best = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("kept"))
-    chosen = best.select(F.col("kept.doc_id").alias("__id"), F.col("kept.th").alias("__th"))
-    mine = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_semi")
-    # Rows with the same id and text are all still here; one stays.
-    th = "__th"
-    while th in docs.columns:
-        th += "_"
-    return mine.withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def _least(found: DataFrame) -> DataFrame:
+    """file, row of the row with the smallest id of each root of ``found`` (doc_id, file, row, root); of rows with that id the first."""
+    place = F.struct("file", "row")
+    best = found.groupBy("root").agg(F.min_by(place, F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("kept"))
+    return best.select("kept.file", "kept.row")
 
 
 def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes(text, STAGE_SHINGLE)]))
 
 
+def set_key(held: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest as digest
+
+    return digest(held.tobytes(), 7)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, th, text) to (doc_id, th, key, bands): the hash of the set of shingles, and of each band of its least hashes."""
+    """Rows (doc_id, file, row, text) to (doc_id, file, row, key, n, bands): the hash and size of the set of shingles, and the hash of each band of its least hashes."""
     from xxhash import xxh64_intdigest as digest
 
     draw = random.Random(5)
     salts, factors = (np.array([draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64) for _ in range(2))
     for batch in batches:
-        keys, bands = [], []
-        for text in batch.column(2):
+        keys, sizes, bands = [], [], []
+        for text in batch.column(3):
             held = shingle_set(text.as_py() or b"")
             least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
             for at in range(0, len(held), 512):
                 least = np.minimum(least, ((held[at : at + 512, None] ^ salts) * factors).min(axis=0))
-            keys.append(digest(held.tobytes(), 7))
+            keys.append(set_key(held))
+            sizes.append(len(held))
             bands.append([digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(held) else [])
         flat = np.array([b for own in bands for b in own], np.uint64).view(np.int64)
         ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "th", "key", "bands"])
+        own = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "file", "row", "key", "n", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            held = shingle_set(batch.column(1)[i].as_py() or b"").view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))], names=["key", "held"])
+        for text in batch.column(0):
+            held = shingle_set(text.as_py() or b"")
+            key = pa.array(np.array([set_key(held)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held.view(np.int64)))], names=["key", "held"])
 
 
 def keep_dissimilar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near duplicates, all columns: linked are texts whose sets of five-word runs have that Jaccard similarity.
 
     Texts of equal sets are one node.  The members of a band's bucket are compared with its smallest one first; then those that
-    still are in different components with each other, so many variations of a text don't meet in pairs.
+    still are in different components with each other, so many variations of a text don't meet in pairs.  Texts stay where they are:
+    what moves are hashes of bands, and the sets of shingles of texts that have company.
     """
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(keyed.mapInArrow(_banded, "doc_id long, th long, key long, bands array<long>"), "bands")
-    each = rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min("th").alias("th")).select("key", "th", F.explode("bands").alias("bucket"))
-    many = each.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    docs, file, row = placed(docs, "dedup-input")
+    keyed = docs.select(F.col("doc_id").cast("long"), file.alias("file"), row.alias("row"), F.col("text").cast("binary").alias("text"))
+    rows = materialize(keyed.mapInArrow(_banded, "doc_id long, file long, row long, key long, n long, bands array<long>"), "bands")
+    each = rows.groupBy("key").agg(F.min_by(F.struct("file", "row", "n", "bands"), F.struct("file", "row")).alias("one")).select("key", "one.n", "one.file", "one.row", F.explode("one.bands").alias("bucket"))
+    many = each.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1").select("bucket", F.col("pivot.key").alias("pivot"), F.col("pivot.n").alias("pn"))
     met = materialize(each.join(many, "bucket"), "buckets")
     # One text for each set that has company; its shingles are the same for every text of the set.
-    asked = met.select("key", "th").distinct()
-    texts = keyed.select("th", "text").join(asked, "th").dropDuplicates(["key"])
-    sets = materialize(texts.select("key", "text").mapInArrow(_sets, "key long, held array<long>"), "shingle-sets")
+    asked = at_places(docs, file, row, met.select("file", "row").distinct())
+    sets = materialize(asked.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "key long, held array<long>"), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.where("a < b").distinct().join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        near = pairs.where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
+        both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    first = materialize(verified(met.select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "near")
+    first = materialize(verified(met.select(F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb"))), "near")
     star = components(first).toDF("key", "root")
-    placed = materialize(met.select("bucket", "key").join(star, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
-    open_ = placed.join(placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "bucket")
-    left, right = open_.toDF("bucket", "a", "ra"), open_.toDF("bucket", "b", "rb")
-    second = verified(left.join(right, "bucket").where("ra <> rb and a < b").select("a", "b"))
+    ranked = materialize(met.select("bucket", "key", "n").join(star, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
+    open_ = ranked.join(ranked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "bucket")
+    left, right = open_.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), open_.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    second = verified(left.join(right, "bucket").where("ra <> rb"))
     star = components(first.unionByName(second)).toDF("key", "root")
-    return _least(docs, rows.drop("bands").join(star, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    return at_places(docs, file, row, _least(rows.drop("bands").join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(2)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "th", "fp"])
+        found = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(3)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], names=["doc_id", "file", "row", "fp"])

@@ -141,3 +141,61 @@ def scope_graph(graph: Graph, keep: Column) -> Graph:
     ids = nodes.select("id")
     edges = graph.edges.join(ids, graph.edges["src"] == ids["id"], "left_semi").join(ids, graph.edges["dst"] == ids["id"], "left_semi")
     return Graph(nodes, edges)
+
+
+CONTENT_KINDS = ("doc", "section", "artifact", "asset")
+
+
+def content(nodes: DataFrame, wanted: bool, kinds: Sequence[str] = CONTENT_KINDS) -> DataFrame:
+    """Nodes that hold content, or those that don't."""
+    inside = F.col("kind").isin(*kinds)
+    return nodes.where(inside if wanted else ~inside)
+
+
+def walkable(edges: DataFrame) -> DataFrame:
+    """Edges whose target was resolved inside."""
+    return edges.where(~F.startswith("dst", F.lit("unresolved::")) & ~F.startswith("dst", F.lit("external::")))
+
+
+def under(nodes: DataFrame, prefix: str) -> DataFrame:
+    """Nodes below a path, which may begin with the name of their repository."""
+    inside = F.when(F.startswith(F.lit(prefix), F.concat("repo_prefix", F.lit("/"))), F.substring(F.lit(prefix), F.length("repo_prefix") + 2, F.lit(len(prefix)))).otherwise(F.lit(prefix))
+    return nodes.where(F.startswith("file_path", inside))
+
+
+def speculative(edges: DataFrame, wanted: bool) -> DataFrame:
+    """Speculative edges only come when asked for; an edge without origin isn't one."""
+    return edges if wanted else edges.where(F.coalesce("origin", F.lit("")) != "speculative")
+
+
+def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with neither end among nodes (id)."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_anti").join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+
+
+def node_pattern(text: str) -> Column:
+    """``name:`` contained in any case, ``exact:``, ``kind:``, ``path:`` a prefix; all of them, and an empty pattern fits nothing."""
+    fits = {
+        "name": lambda v: F.contains(F.lower("name"), F.lit(v.lower())), "exact": lambda v: F.col("name") == v,
+        "kind": lambda v: F.col("kind").isin(*v.split(",")), "path": lambda v: F.startswith("file_path", F.lit(v)),
+    }
+    parts = [p.partition(":") for p in text.split()]
+    if not parts:
+        return F.lit(False)
+    if bad := [k for k, _, v in parts if k not in fits or not v]:
+        raise ValueError(f"unknown or empty: {', '.join(bad)}")
+    out = F.lit(True)
+    for k, _, v in parts:
+        out &= fits[k](v)
+    return out
+
+
+def may_be_dead(nodes: DataFrame, kinds: Sequence[str], exported: str, entries: str) -> DataFrame:
+    """Nodes that could be dead code: not of these kinds, not exported, not an entry point."""
+    return nodes.where(~F.col("kind").isin(*kinds) & ~F.col("name").rlike(exported) & ~F.col("name").rlike(entries))
+
+
+def join_list(nodes: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Nodes of a list of ids given as one array parameter."""
+    given = nodes.sparkSession.range(1).select(F.explode(F.array_distinct(F.array(*map(F.lit, ids)))).alias("id"))
+    return nodes.join(given, "id")

@@ -131,3 +131,36 @@ def budgeted(found: DataFrame, tokens: str, budget: int) -> DataFrame:
     """Nodes in the order of a traversal (depth, node) while their tokens fit the budget; the order is total, the set that a walk returns is small."""
     run = Window.orderBy("depth", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.withColumn("spent", F.sum(tokens).over(run)).where(F.col("spent") <= budget)
+
+
+def processes(edges: DataFrame, entries: DataFrame, kinds: Sequence[str], depth: int, most: int) -> DataFrame:
+    """(process, node, depth, steps, truncated): what each entry (id) reaches in ``depth`` steps, at least one; ``steps`` counts all of it, and
+    of more than ``most`` the nearest are returned and the reason told."""
+    steps = durable(oriented(edges, "out", kinds), "steps")
+    level = entries.select(F.col("id").alias("process"), F.col("id").alias("node"), F.lit(0).alias("depth"))
+    seen = level = durable(level, "process")
+    for k in range(1, depth + 1):
+        hop = level.join(steps.withColumnRenamed("here", "node"), "node").select("process", F.col("there").alias("node")).distinct()
+        level = durable(hop.join(seen.select("process", "node"), ["process", "node"], "left_anti").withColumn("depth", F.lit(k)), "process")
+        seen = seen.unionByName(level)
+    total = seen.groupBy("process").agg(F.count("*").alias("steps")).where("steps >= 2")
+    order = Window.partitionBy("process").orderBy("depth", "node")
+    kept = seen.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k")
+    return kept.join(total, "process").withColumn("truncated", F.when(F.col("steps") > most, "steps").otherwise(""))
+
+
+def stamped(edges: DataFrame, roots: DataFrame, label: str, kinds: Sequence[str]) -> DataFrame:
+    """(id, label): the roots' labels, and what all below them inherit."""
+    steps = durable(oriented(edges, "in", kinds), "steps")
+    seen = level = durable(roots.select("id", label).distinct(), "stamped")
+    while not level.isEmpty():
+        hop = level.join(steps.withColumnRenamed("here", "id"), "id").select(F.col("there").alias("id"), label).distinct()
+        level = durable(hop.join(seen, ["id", label], "left_anti"), "stamped")
+        seen = seen.unionByName(level)
+    return seen
+
+
+def into_few(edges: DataFrame, few: DataFrame) -> DataFrame:
+    """(src, id): edges into few nodes (id), which go out to the edges once their number is known."""
+    few = durable(few, "few")
+    return edges.select("src", F.col("dst").alias("id")).join(small(few, few.count()), "id")

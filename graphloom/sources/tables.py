@@ -40,7 +40,14 @@ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {orders} ON l_orde
 JOURNEY = """
 SELECT user_id, ts, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM {events}"""
 
-TEXTS = {"nodes": NODES, "edges": EDGES, "basket": BASKET, "trade": TRADE, "journey": JOURNEY}
+#: What users do to keys: one edge an event, of five kinds, with a mode.
+FACTS = """
+SELECT concat('u', user_id) AS src, concat('k', regexp_extract(props, '([0-9]+)', 1)) AS dst,
+       CASE event_type WHEN 'view' THEN 'reads_config' WHEN 'click' THEN 'writes' WHEN 'error' THEN 'throws' WHEN 'signup' THEN 'spawns' ELSE 'annotated' END AS kind,
+       CASE event_id % 3 WHEN 0 THEN 'thread' WHEN 1 THEN 'task' ELSE 'process' END AS mode, concat('svc/u', user_id % 7, '.go') AS file_path, event_id AS line, ts
+FROM {events}"""
+
+TEXTS = {"nodes": NODES, "edges": EDGES, "basket": BASKET, "trade": TRADE, "journey": JOURNEY, "facts": FACTS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
