@@ -67,3 +67,71 @@ def cosine(a: Column, b: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
+
+
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
+
+
+def stemmed(tokens: Column) -> Column:
+    """Tokens without stop words; ASCII words of four letters or more lose the endings of plurals and participles."""
+    kept = F.filter(tokens, lambda t: ~t.isin(*STOPWORDS))
+
+    def stem(t: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "sses$", "ss"), "ies$", "i"), "([^s])s$", "$1")
+        cut = F.regexp_replace(F.regexp_replace(cut, "(..[aeiouy].*)ing$", "$1"), "(..[aeiouy].*)ed$", "$1")
+        return F.when(t.rlike("^[a-z]{4,}$"), cut).otherwise(t)
+
+    return F.transform(kept, stem)
+
+
+def last_colon(site: Column) -> tuple[Column, Column]:
+    """A call site ``file:line`` at its last colon; without one the whole is the file."""
+    at = F.length(site) - F.length(F.substring_index(site, ":", -1))
+    return F.when(at > 0, F.substring(site, F.lit(1), at - 1)).otherwise(site), F.when(at > 0, F.substring_index(site, ":", -1)).otherwise(F.lit(""))
+
+
+def folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+def path_stem(path: Column) -> Column:
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def without_project(path: Column, project: Column) -> Column:
+    """A path without the name of its project before it."""
+    lead = F.concat(project, F.lit("/"))
+    return F.when(F.startswith(path, lead), F.substring(path, F.length(lead) + 1, F.length(path))).otherwise(path)
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text in UTF-8, as a long."""
+    octets = F.filter(F.transform(F.split(F.hex(F.encode(text, "UTF-8")), "(?<=\\G..)"), lambda h: F.conv(h, 16, 10).cast("long")), lambda b: b.isNotNull())
+    return F.aggregate(octets, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared members by the smaller set."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+
+
+def from_stamp(value: Column) -> Column:
+    """A timestamp from seconds, milliseconds or microseconds since the epoch, by their size."""
+    v = value.cast("long")
+    return F.when(v > 100_000_000_000_000, F.timestamp_micros(v)).when(v > 100_000_000_000, F.timestamp_millis(v)).otherwise(F.timestamp_seconds(v))
+
+
+def flat(value: Column) -> Column:
+    """A value of a struct or map as text: plain ones as they are, nested ones as JSON."""
+    return F.to_json(value)
+
+
+def packed_shingles(hashes: Column) -> Column:
+    """Hashes as hexadecimal text, eight little-endian bytes each."""
+    return F.array_join(F.transform(hashes, lambda h: F.array_join(F.reverse(F.split(F.lpad(F.hex(h), 16, "0"), "(?<=\\G..)(?=.)")), "")), "")
+
+
+def unpacked_shingles(text: Column) -> Column:
+    parts = F.filter(F.split(text, "(?<=\\G.{16})"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.conv(F.array_join(F.reverse(F.split(p, "(?<=\\G..)(?=.)")), ""), 16, -10).cast("long"))

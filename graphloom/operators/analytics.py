@@ -222,6 +222,123 @@ def label_communities(ids: DataFrame, edges: DataFrame, rounds: int = 10) -> Dat
     return fixpoint(ids.select("id", F.col("id").alias("community")), step, most=rounds, name="labels")
 
 
+def communities(ids: DataFrame, edges: DataFrame, resolution: float = 1.0, small_edges: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, community) by greedy modularity at a resolution: larger ones give more communities; each is connected and named by its least node.
+
+    A graph of more than ``small_edges`` edges is contracted by label propagation first, as often as it takes; one task moves the rest.
+    """
+    near = durable(outgoing(edges.where("src <> dst"), F.col("w")), "communities")
+    placed, rounds = ids.select("id", F.col("id").alias("community")), 0
+    loops = near.select("src", "dst", "w").limit(0)
+    while near.count() > small_edges:
+        nodes = placed.select(F.col("community").alias("id")).distinct()
+        labels = durable(label_communities(nodes, near), "communities")
+        a, b = labels.toDF("src", "ca"), labels.toDF("dst", "cb")
+        joined = durable(near.unionByName(loops).join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")), "communities")
+        placed = durable(placed.join(labels.toDF("community", "up"), "community").select("id", F.col("up").alias("community")), "communities")
+        loops, fewer = joined.where("src = dst"), joined.where("src <> dst")
+        if fewer.count() == near.count():
+            raise ValueError("label propagation doesn't contract this graph any further")
+        near, rounds = fewer, rounds + 1
+    whole = near.unionByName(loops)
+
+    def run(frames):
+        rows = pd.concat(list(frames))
+        found = _louvain(list(zip(rows.iloc[:, 0], rows.iloc[:, 1], rows.iloc[:, 2].astype(float))), resolution)
+        yield pd.DataFrame({"community": pd.Series(list(found), dtype=object), "up": pd.Series(list(found.values()), dtype=object)})
+
+    moved = whole.coalesce(1).mapInPandas(run, "community string, up string")
+    final = placed.join(moved, "community", "left").select("id", F.coalesce("up", "community").alias("group"))
+    least = final.groupBy("group").agg(F.min("id").alias("community"))
+    return final.join(least, "group").select("id", "community")
+
+
+def _louvain(rows: list[tuple[str, str, float]], resolution: float) -> dict[str, str]:
+    """Local moves and contraction until modularity no longer grows; communities that fell apart are split at the end."""
+    weight: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+    for a, b, w in rows:
+        weight[a][b] += w
+        weight[b][a] += w
+    first = {v: dict(n) for v, n in weight.items()}
+    of = {v: v for v in weight}
+    total = sum(sum(n.values()) for n in weight.values())
+    while weight and total:
+        degree = {v: sum(n.values()) for v, n in weight.items()}
+        label, held, changed = {v: v for v in weight}, dict(degree), False
+        for _ in range(100):
+            still = True
+            for v in sorted(weight):
+                links: dict[str, float] = defaultdict(float)
+                for u, w in weight[v].items():
+                    if u != v:
+                        links[label[u]] += w
+                own = label[v]
+                held[own] -= degree[v]
+                gain = lambda c: links.get(c, 0.0) - resolution * degree[v] * held[c] / total  # noqa: B023, E731
+                best = min(sorted({own, *links}), key=lambda c: (-round(gain(c), 9), c != own, c))
+                held[best] += degree[v]
+                if best != own:
+                    label[v], still, changed = best, False, True
+            if still:
+                break
+        of = {v: label[c] for v, c in of.items()}
+        if not changed:
+            break
+        fewer: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        for v, near in weight.items():
+            for u, w in near.items():
+                fewer[label[v]][label[u]] += w
+        weight = fewer
+    out: dict[str, str] = {}
+    for v in sorted(of):
+        if v not in out:
+            stack, own = [v], {v}
+            while stack:
+                for u in first[stack.pop()]:
+                    if u not in own and of[u] == of[v]:
+                        own.add(u)
+                        stack.append(u)
+            out.update(dict.fromkeys(own, v))
+    return out
+
+
+def spectral(ids: DataFrame, edges: DataFrame, least: int = 6, small_edges: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, cluster) by halving at the Fiedler vector while modularity grows; groups of fewer than ``least`` nodes stay whole.
+
+    One task solves it; graphs of more than ``small_edges`` edges are an error, contract them with :func:`communities` first.
+    """
+    near = durable(outgoing(edges.where("src <> dst"), F.col("w")), "spectral")
+    if near.count() > small_edges:
+        raise ValueError("contract the graph first")
+
+    def run(frames):
+        import numpy as np
+
+        rows = pd.concat(list(frames))
+        names = sorted({*rows.iloc[:, 0], *rows.iloc[:, 1]})
+        at = {v: i for i, v in enumerate(names)}
+        w = np.zeros((len(names), len(names)))
+        for a, b, v in zip(rows.iloc[:, 0], rows.iloc[:, 1], rows.iloc[:, 2].astype(float)):
+            w[at[a], at[b]] += v
+            w[at[b], at[a]] += v
+        total, degree, done, work = w.sum(), w.sum(axis=1), [], [np.arange(len(names))]
+        while work:
+            own = work.pop()
+            part = w[np.ix_(own, own)]
+            if len(own) >= least:
+                side = np.linalg.eigh(np.diag(part.sum(axis=1)) - part)[1][:, 1] > 0
+                a, b = own[side], own[~side]
+                if len(a) and len(b) and degree[a].sum() * degree[b].sum() / total > w[np.ix_(a, b)].sum():
+                    work += [a, b]
+                    continue
+            done.append(own)
+        found = {names[i]: names[min(own)] for own in done for i in own.tolist()}
+        yield pd.DataFrame({"id": pd.Series(list(found), dtype=object), "cluster": pd.Series(list(found.values()), dtype=object)})
+
+    parts = near.coalesce(1).mapInPandas(run, "id string, cluster string")
+    return ids.join(parts, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
     """Of a partition (id, community) of the undirected weighted graph."""
     total = edges.agg(F.sum("w")).first()[0] or 0.0
@@ -303,4 +420,4 @@ def cycles(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.unionByName(loops.join(parts, "component", "left_anti"))
 
 
-__all__ = ["betweenness", "cycles", "hits", "k_core", "label_communities", "modularity", "outgoing", "pagerank", "small", "strong_components", "undirected", "weak_components"]
+__all__ = ["betweenness", "communities", "cycles", "hits", "k_core", "label_communities", "modularity", "outgoing", "pagerank", "small", "spectral", "strong_components", "undirected", "weak_components"]

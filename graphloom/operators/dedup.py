@@ -12,10 +12,11 @@ from .analytics import weak_components
 STRATA = ((0, 80), (50, 160), (100, 320), (200, 640), (400, None))
 
 
-def signature(shingles: Column, hashes: int = 64) -> Column:
-    """The least hash of the shingles under each of ``hashes`` seeds; null without shingles."""
-    seeds = F.sequence(F.lit(0), F.lit(hashes - 1))
-    return F.when(F.size(shingles) > 0, F.transform(seeds, lambda s: F.array_min(F.transform(shingles, lambda g: F.xxhash64(s, g)))))
+def signatures(docs: DataFrame, hashes: int = 64) -> DataFrame:
+    """(id, sig) of docs (id, shingles): the least hash of the shingles under each of ``hashes`` seeds, combined before anything moves; none without shingles."""
+    each = docs.select("id", F.explode("shingles").alias("g")).select("id", F.xxhash64("g").alias("h"))
+    least = each.groupBy("id").agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(hashes)])
+    return least.select("id", F.array(*[f"m{i}" for i in range(hashes)]).alias("sig"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -42,7 +43,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, hashes: int = 64, rows:
     Equal shingle sets are one class, named by its least id, so copies never meet in pairs; :func:`members` has the classes.
     """
     classes = durable(docs.where(F.size("shingles") > 0).groupBy(F.xxhash64(F.array_sort("shingles")).alias("key")).agg(F.min("id").alias("id"), F.min_by("shingles", "id").alias("shingles")).select("id", "shingles"), "classes")
-    keyed = durable(classes.select("id", F.explode(bands(signature(F.col("shingles"), hashes), rows)).alias("k")).select("id", "k.band", "k.bucket"), "bands")
+    keyed = durable(signatures(classes, hashes).select("id", F.explode(bands(F.col("sig"), rows)).alias("k")).select("id", "k.band", "k.bucket"), "bands")
     left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
     pairs = left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
     body_a, body_b = (classes.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
@@ -96,3 +97,51 @@ def frequent_shingles(docs: DataFrame, share: float = 0.01) -> DataFrame:
     """(shingle, df) of shingles in more than ``share`` of the docs (id, shingles)."""
     n = docs.count()
     return docs.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > share * n)
+
+
+def stratified_pairs(docs: DataFrame, threshold: float = 0.8, hashes: int = 64, rows: int = 4) -> DataFrame:
+    """:func:`near_pairs` of docs (id, shingles, length) that share a length class: a band's bucket is split by class, so long runs are shorter."""
+    one = docs.where(F.size("shingles") > 0).groupBy(F.xxhash64(F.array_sort("shingles")).alias("key")).agg(F.min("id").alias("id"), F.min_by("shingles", "id").alias("shingles"), F.min_by("length", "id").alias("length"))
+    classes = durable(one.select("id", "shingles", strata(F.col("length")).alias("strata")), "strata")
+    keyed = durable(signatures(classes, hashes).select("id", F.explode(bands(F.col("sig"), rows)).alias("k")).join(classes.select("id", "strata"), "id").select("id", F.explode("strata").alias("stratum"), "k.band", "k.bucket"), "bands")
+    pairs = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), ["stratum", "band", "bucket"]).where("a < b").select("a", "b").distinct()
+    body_a, body_b = (classes.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+    score = pairs.join(body_a, "a").join(body_b, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
+    return score.where(F.col("similarity") >= threshold)
+
+
+def band_index(docs: DataFrame, hashes: int = 64, rows: int = 4) -> DataFrame:
+    """(id, band, bucket) of docs (id, shingles): an index to which rows are added by union and from which they go by id."""
+    sized = docs.where(F.size("shingles") > 0)
+    return signatures(sized, hashes).select("id", F.explode(bands(F.col("sig"), rows)).alias("k")).select("id", "k.band", "k.bucket")
+
+
+def index_change(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The index without removed and replaced ids (id), and with the rows of added docs (id, shingles)."""
+    gone = None if added is None else added.select("id")
+    if removed is not None:
+        gone = removed.select("id") if gone is None else gone.unionByName(removed.select("id"))
+    out = index if gone is None else index.join(gone.distinct(), "id", "left_anti").select(*index.columns)
+    return out if added is None else out.unionByName(band_index(added))
+
+
+def index_query(index: DataFrame, docs: DataFrame, asked: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(query, id, similarity): indexed docs that are similar to the asked ones (id, shingles), verified; a doc isn't its own."""
+    met = band_index(asked).withColumnRenamed("id", "query").join(index, ["band", "bucket"]).where("query <> id").select("query", "id").distinct()
+    both = met.join(asked.select(F.col("id").alias("query"), F.col("shingles").alias("sa")), "query").join(docs.select("id", F.col("shingles").alias("sb")), "id")
+    return both.select("query", "id", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def decremented(table: DataFrame, other: DataFrame) -> DataFrame:
+    """A sketch less another one, no cell below 0."""
+    less = other.withColumnRenamed("n", "less")
+    return table.join(less, ["row", "cell"], "left").select("row", "cell", F.greatest(F.col("n") - F.coalesce("less", F.lit(0)), F.lit(0).cast("long")).alias("n"))
+
+
+def clone_report(held: DataFrame, pairs: DataFrame, dead: DataFrame, least: float = 0.0, dead_only: bool = False) -> DataFrame:
+    """(cluster, members, dead, similarity): clusters (id, cluster) of two or more, with their dead members (id) and the mean similarity of their pairs (a, b, similarity)."""
+    flagged = held.join(dead.select("id", F.lit(1).alias("is_dead")), "id", "left")
+    size = flagged.groupBy("cluster").agg(F.count("*").alias("members"), F.count("is_dead").alias("dead")).where("members > 1")
+    mean = pairs.where(F.col("similarity") >= least).join(held.withColumnRenamed("id", "a"), "a").groupBy("cluster").agg(F.avg("similarity").alias("similarity"))
+    out = size.join(mean, "cluster")
+    return out.where("dead > 0") if dead_only else out

@@ -47,6 +47,12 @@ def grep(docs: DataFrame, pattern: str, literal: bool = True, limit: int | None
     return found if limit is None else found.orderBy("id", "line").limit(limit + 1)
 
 
+def disclosed(rows: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of a result that was fetched with one more, and ``truncated``: whether there was one."""
+    more = rows.agg((F.count("*") > limit).alias("truncated"))
+    return rows.orderBy(*order).limit(limit).join(F.broadcast(more))  # one row
+
+
 def fuse(ranks: DataFrame, alpha: float = 0.5, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (id, text_rank, vector_rank), -1 for absent; alpha 0 is text alone."""
     a = min(1.0, max(0.0, alpha))

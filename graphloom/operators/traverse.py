@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.durable import durable, small
+from ..plans.model import Graph
 
 
 def oriented(edges: DataFrame, direction: str, kinds: Sequence[str]) -> DataFrame:
@@ -164,3 +165,85 @@ def into_few(edges: DataFrame, few: DataFrame) -> DataFrame:
     """(src, id): edges into few nodes (id), which go out to the edges once their number is known."""
     few = durable(few, "few")
     return edges.select("src", F.col("dst").alias("id")).join(small(few, few.count()), "id")
+
+
+DEPENDENCIES = ("imports", "calls", "references", "depends_on")
+
+
+def dependencies(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """What seeds depend on, or with ``in`` what depends on them, over the kinds that are dependencies."""
+    return bfs(edges, seeds, direction, DEPENDENCIES, depth)
+
+
+def inside_communities(edges: DataFrame, communities: DataFrame, structural: Sequence[str]) -> DataFrame:
+    """Edges within a community (id, community), and those of structural kinds."""
+    free = edges.where(F.col("kind").isin(*structural))
+    bound = edges.where(~F.col("kind").isin(*structural))
+    a, b = communities.toDF("src", "__a"), communities.toDF("dst", "__b")
+    return free.unionByName(bound.join(a, "src").join(b, "dst").where("__a = __b").select(*edges.columns))
+
+
+def traced(edges: DataFrame, sources: DataFrame, sinks: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
+    """:func:`paths` with the product of their steps' confidences, the best of parallel edges counting."""
+    found = paths(edges, sources, sinks, kinds, depth).withColumn("__id", F.monotonically_increasing_id())
+    found = durable(found, "traced")
+    best = edges.where(F.col("kind").isin(*kinds)).groupBy("src", "dst").agg(F.max("confidence").alias("c"))
+    steps = found.select("__id", F.posexplode(F.slice("path", 1, 1_000_000)).alias("k", "src"), "path").where(F.col("k") < F.size("path") - 1)
+    each = steps.select("__id", "src", F.get("path", F.col("k") + 1).alias("dst")).join(best, ["src", "dst"])
+    product = each.groupBy("__id").agg(F.exp(F.sum(F.log("c"))).alias("confidence"))
+    return found.join(product, "__id", "left").drop("__id")
+
+
+def gap(edges: DataFrame, sources: DataFrame, sinks: DataFrame, kinds: Sequence[str], depth: int) -> DataFrame:
+    """(forward, backward, furthest, nearest, reason), one row for sources and sinks that no path joins: how far each side gets."""
+    ahead, back = bfs(edges, sources, "out", kinds, depth), bfs(edges, sinks, "in", kinds, depth)
+    met = ahead.join(back.select("node"), "node", "left_semi").agg((F.count("*") > 0).alias("met"))
+    f = ahead.agg(F.count("*").alias("forward"), F.max("depth").alias("furthest"))
+    b = back.agg(F.count("*").alias("backward"), F.max("depth").alias("nearest"))
+    reason = F.when(F.col("met"), "connected").when(F.col("furthest") == 0, "no_way_out").when(F.col("nearest") == 0, "no_way_in").otherwise("apart")
+    return f.join(F.broadcast(b)).join(F.broadcast(met)).withColumn("reason", reason).drop("met")  # one row each
+
+
+def tainted(graph: Graph, source: Column, sink: Column, kinds: Sequence[str], depth: int) -> DataFrame:
+    """:func:`paths` from nodes that fit one pattern to those of another; ``place`` ranks those of a sink, shortest first."""
+    found = paths(graph.edges, graph.nodes.where(source).select("id"), graph.nodes.where(sink).select("id"), kinds, depth).where("length > 0")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("sink").orderBy("length", F.array_join("path", ">"))))
+
+
+def by_site(uses: DataFrame) -> DataFrame:
+    """One row a call site of uses (…, sites); a use without sites stays one row."""
+    return uses.withColumn("line", F.explode_outer("sites")).drop("sites")
+
+
+def bounded(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int = 2, most: int = 4096) -> DataFrame:
+    """(node, depth, truncated): the nearest ``most`` nodes both ways, and whether there were more."""
+    found = bfs(edges, seeds, "both", kinds, depth).select("node", "depth")
+    n = found.count()
+    return found.orderBy("depth", "node").limit(most).withColumn("truncated", F.lit(n > most))
+
+
+def paged(found: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A page of each depth of (node, depth)."""
+    k = F.row_number().over(Window.partitionBy("depth").orderBy("node"))
+    return found.withColumn("__k", k).where((F.col("__k") > offset) & (F.col("__k") <= offset + limit)).drop("__k")
+
+
+def import_path(nodes: DataFrame, language: str) -> DataFrame:
+    """(name, path): the shortest path that defines a name in a language."""
+    return nodes.where(F.col("language") == language).groupBy("name").agg(F.min_by("file_path", F.struct(F.length("file_path"), "file_path")).alias("path"))
+
+
+def terminal(edges: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(id, terminal): where the chain of each node's only edge (of several the one to the least) ends; its length doubles each round.
+
+    A chain that runs into a ring has no end: those nodes end where they stand after as many steps as there are nodes.
+    """
+    out = durable(edges.where(F.col("kind").isin(*kinds)).groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("terminal")), "terminal")
+    steps, most = 1, out.count()
+    while steps <= most:
+        ahead = out.select(F.col("id").alias("terminal"), F.col("terminal").alias("next"))
+        joined = durable(out.join(ahead, "terminal", "left").select("id", F.coalesce("next", "terminal").alias("terminal"), F.col("next").isNotNull().alias("moved")), "terminal")
+        if joined.where("moved").isEmpty():
+            break
+        out, steps = joined.select("id", "terminal"), steps * 2
+    return out

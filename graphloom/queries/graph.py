@@ -114,9 +114,9 @@ def _(s, d):
     return c.join(o, c["dst"] == o["override"]).groupBy(c["src"], "override").agg(F.count("*").alias("n"))
 
 
-@query("field_filter", duck("SELECT id, name FROM nodes WHERE language = 'rust' AND kind IN ('type', 'interface') AND starts_with(file_path, 'src/part/') AND contains(lower(name), '1')"))
+@query("field_filter", duck("SELECT id, name FROM nodes WHERE language = 'rust' AND kind IN ('type', 'interface') AND starts_with(file_path, 'src/part/') AND contains(lower(name), 'ring')"))
 def _(s, d):
-    found, rest = fl.parse_fields("lang:rs kind:type,interface path:src/part/ 1")
+    found, rest = fl.parse_fields("lang:rs kind:type,interface path:src/part/ Ring")
     return fl.name_contains(supply(s, d).nodes.where(fl.field_filter(found)), rest).select("id", "name")
 
 
@@ -200,9 +200,9 @@ def _(s, d):
     return p.join(c, ["contract", "workspace"], "full").select("contract", "workspace", F.coalesce("providers", F.lit(0)).alias("providers"), F.coalesce("consumers", F.lit(0)).alias("consumers"), status.alias("status"))
 
 
-@query("unique_candidate_bind", "SELECT p_brand, p_type, CAST(min(p_partkey) AS BIGINT) AS bound FROM part GROUP BY 1, 2 HAVING count(*) = 1")
+@query("unique_candidate_bind", "SELECT p_brand, p_name, p_size, CAST(min(p_partkey) AS BIGINT) AS bound FROM part GROUP BY 1, 2, 3 HAVING count(*) = 1")
 def _(s, d):
-    return table(s, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.min("p_partkey").alias("bound")).where("n = 1").drop("n")
+    return table(s, d, "part").groupBy("p_brand", "p_name", "p_size").agg(F.count("*").alias("n"), F.min("p_partkey").alias("bound")).where("n = 1").drop("n")
 
 
 @query("enclosing_range", """

@@ -86,7 +86,13 @@ def _shingled(s, d):
     return _docs(s, d).select("id", tx.shingles(F.col("tokens")).alias("shingles"))
 
 
-@query("minhash_pairs")
+_CLASSES = f"""
+    WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END AS sh FROM t),
+    m AS MATERIALIZED (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(sh, '|'))) END AS class, sh FROM s), x AS MATERIALIZED (SELECT doc_id AS id, len(sh) AS n, md5(unnest(sh)) AS g FROM m WHERE doc_id = class),
+    j AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS both_ FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3, 4)"""
+
+
+@query("minhash_pairs", _CLASSES + " SELECT a, b, round(both_ / (na + nb - both_), 6) AS similarity FROM j WHERE both_ / (na + nb - both_) >= 0.8 UNION ALL SELECT class, doc_id, 1.0 FROM m WHERE class <> doc_id")
 def _(s, d):
     docs = _shingled(s, d)
     return dd.all_pairs(dd.near_pairs(docs), dd.members(docs)).withColumn("similarity", F.round("similarity", 6))
@@ -98,12 +104,15 @@ def _(s, d):
     return dd.placed(durable(dd.near_pairs(docs), "pairs"), dd.members(docs))
 
 
-@query("clone_tokens")
+_FOLDED = "regexp_replace(regexp_replace(html, '\"[^\"\\n]*\"|''[^''\\n]*''|`[^`]*`', ' ' || chr(1) || ' ', 'g'), '\\b\\d[\\w.]*', ' ' || chr(2) || ' ', 'g')"
+
+
+@query("clone_tokens", f"SELECT page_id, CAST(len(regexp_extract_all({_FOLDED}, '[A-Za-z_]\\w*|\\x01|\\x02|[-+*/%=<>!&|^~:?.]+|[()\\[\\]{{}};,]')) AS INTEGER) AS n FROM pages")
 def _(s, d):
     return table(s, d, "pages").select("page_id", F.size(tx.clone_tokens(F.col("html"))).alias("n"))
 
 
-@query("cms_estimate")
+@query("cms_estimate", "SELECT CAST(user_id AS VARCHAR) AS item, count(*) AS estimate FROM events GROUP BY 1")
 def _(s, d):
     e = table(s, d, "events").select(F.col("user_id").cast("string").alias("item"))
     return dd.estimate(e.distinct(), "item", dd.sketch(e, "item"))

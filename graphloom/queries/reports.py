@@ -76,9 +76,9 @@ def _(s, d):
     return rows.withColumn("grade", F.when(c >= 85, "A").when(c >= 70, "B").when(c >= 55, "C").when(c >= 40, "D").otherwise("F"))
 
 
-@query("extraction_candidates", duck(f"WITH {_DEG} SELECT id, lines, fi, fo FROM d WHERE lines >= 20 AND fi >= 2 AND fo >= 2"))
+@query("extraction_candidates", duck(f"WITH {_DEG} SELECT id, lines, fi, fo FROM d WHERE lines >= 20 AND fi >= 1 AND fo >= 2"))
 def _(s, d):
-    return _degrees(supply(s, d)).where("lines >= 20 AND fi >= 2 AND fo >= 2").select("id", "lines", "fi", "fo")
+    return _degrees(supply(s, d)).where("lines >= 20 AND fi >= 1 AND fo >= 2").select("id", "lines", "fi", "fo")
 
 
 @query("hotspots", duck(f"WITH {_DEG}, x AS (SELECT e.dst AS id, count(*) AS crossings FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.repo_prefix <> b.repo_prefix GROUP BY 1) SELECT id, fi + fo + 2 * coalesce(crossings, 0) AS heat FROM d LEFT JOIN x USING (id) WHERE fi + fo + 2 * coalesce(crossings, 0) > 20"))
@@ -159,11 +159,13 @@ def _(s, d):
     return per.withColumn("pct", pct).where((F.col("stmts") == 0) | (F.col("hit") < F.col("stmts"))).select("o_orderkey", "stmts", "pct")
 
 
-@query("orphan_tables", "SELECT p_partkey AS tbl, 'unreferenced' AS status, CAST(0 AS BIGINT) AS queries FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT l_partkey, 'orphan', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY 1")
+@query("orphan_tables", """
+    SELECT o_orderkey AS tbl, 'unreferenced' AS status, CAST(0 AS BIGINT) AS queries FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT l_orderkey, 'orphan', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
 def _(s, d):
-    li, p = table(s, d, "lineitem").select(F.col("l_partkey").alias("tbl")), table(s, d, "part").select(F.col("p_partkey").alias("tbl"))
-    un = p.join(li, "tbl", "left_anti").select("tbl", F.lit("unreferenced").alias("status"), F.lit(0).cast("long").alias("queries"))
-    return un.unionByName(li.join(p, "tbl", "left_anti").groupBy("tbl").agg(F.count("*").alias("queries")).select("tbl", F.lit("orphan").alias("status"), "queries"))
+    li, o = table(s, d, "lineitem").select(F.col("l_orderkey").alias("tbl")), table(s, d, "orders").select(F.col("o_orderkey").alias("tbl"), "o_orderstatus")
+    un = o.join(li, "tbl", "left_anti").select("tbl", F.lit("unreferenced").alias("status"), F.lit(0).cast("long").alias("queries"))
+    return un.unionByName(li.join(o.where("o_orderstatus <> 'P'"), "tbl", "left_anti").groupBy("tbl").agg(F.count("*").alias("queries")).select("tbl", F.lit("orphan").alias("status"), "queries"))
 
 
 @query("untested_symbols", duck("WITH RECURSIVE tested(node) AS (SELECT id FROM nodes WHERE kind = 'function' UNION SELECT dst FROM tested JOIN edges ON src = node AND kind IN ('calls', 'references')) SELECT n.id, count(e.src) AS fan_in FROM nodes n LEFT JOIN edges e ON e.dst = n.id WHERE n.id NOT IN (SELECT node FROM tested) GROUP BY 1"))
@@ -264,9 +266,13 @@ def _(s, d):
     return scanners.routes(table(s, d, "pages"))
 
 
-@query("todo_scan", r"SELECT doc_id, count(*) AS todos FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:TODO|FIXME|HACK)[(:]')) FROM documents) GROUP BY 1")
+_MARKED = "concat(text, CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), '// TODO(ann): mend', chr(10), 'FIXME: later') ELSE '' END)"
+
+
+@query("todo_scan", f"SELECT doc_id, count(*) AS todos FROM (SELECT doc_id, unnest(regexp_extract_all({_MARKED}, '(?:TODO|FIXME|HACK)[(:]')) FROM documents) GROUP BY 1")
 def _(s, d):
-    return scanners.todos(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("todos"))
+    marked = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.expr(_MARKED).alias("text"))
+    return scanners.todos(marked).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("todos"))
 
 
 @query("license_scan", "SELECT doc_id, regexp_extract(text, 'licensed under (?:the )?([A-Z][A-Za-z0-9 .-]*)', 1, 'i') AS license FROM documents WHERE regexp_matches(text, 'licensed under (?:the )?[A-Z]', 'i')")
@@ -279,9 +285,10 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", scanners.is_binary(F.col("text")).alias("is_binary"))
 
 
-@query("fixture_paths", "SELECT page_id FROM pages WHERE regexp_matches(url, '(^|/)(testdata|fixtures?|__fixtures__|golden)(/|$)')")
+@query("fixture_paths", "SELECT page_id FROM pages WHERE regexp_matches(concat(url, CASE WHEN page_id % 3 = 0 THEN '/testdata/x' ELSE '/contestdata/x' END), '(^|/)(testdata|fixtures?|__fixtures__|golden)(/|$)')")
 def _(s, d):
-    return table(s, d, "pages").where(F.col("url").rlike(fl.FIXTURE_PATH)).select("page_id")
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/testdata/x").otherwise("/contestdata/x"))
+    return table(s, d, "pages").where(path.rlike(fl.FIXTURE_PATH)).select("page_id")
 
 
 @query("content_hash_changes", "SELECT a.doc_id FROM documents a WHERE md5(a.text) <> md5(a.text || CASE WHEN a.n_chars > 3000 THEN '!' ELSE '' END)")
@@ -361,12 +368,10 @@ def _(s, d):
     return scanners.citations(table(s, d, "documents"), table(s, d, "benchmark"))
 
 
-@query("unclosed_channels", "SELECT DISTINCT user_id FROM events e WHERE event_type = (SELECT min(event_type) FROM events) AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = (SELECT max(event_type) FROM events))")
+@query("unclosed_channels", "WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events) SELECT user_id, day FROM e GROUP BY 1, 2 HAVING count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'view') = 0")
 def _(s, d):
-    e = table(s, d, "events")
-    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
-    tagged = e.join(F.broadcast(ends))
-    return tagged.where("event_type = lo").select("user_id").distinct().join(tagged.where("event_type = hi").select("user_id"), "user_id", "left_anti")
+    per = table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "click").alias("opened"), F.count_if(F.col("event_type") == "view").alias("closed"))
+    return per.where("opened > 0 AND closed = 0").select("user_id", "day")
 
 
 @query("risk_levels", "SELECT o_orderpriority, CASE WHEN n >= 10 OR m >= 10 THEN 'CRITICAL' WHEN n >= 5 OR m >= 5 THEN 'HIGH' WHEN n >= 2 OR m >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk, count(*) AS orders FROM (SELECT o_orderkey, o_orderpriority, count(DISTINCT l_suppkey) AS n, count(l_linenumber) AS m FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1, 2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.model import Graph
 
@@ -69,3 +70,33 @@ def compact(rows: DataFrame) -> DataFrame:
     """Rows as tab-separated lines after one line of column names, for wire formats."""
     cols = [F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")) for c in rows.columns]
     return rows.select(F.concat_ws("\t", *cols).alias("line"))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
+def toon(rows: DataFrame, order: list[str], budget: int) -> DataFrame:
+    """(line): comma-separated rows in an order while the running tokens (four characters each) fit the budget; quotes where needed."""
+    from ..plans.durable import ranked
+
+    def cell(c: str) -> Column:
+        t = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(t.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+
+    lines = ranked(rows, order, "__at").select("__at", F.concat_ws(",", *[cell(c) for c in rows.columns]).alias("line")).orderBy("__at").limit(budget)
+    spent = F.sum(F.ceil((F.length("line") + 1) / 4)).over(Window.orderBy("__at"))
+    return lines.withColumn("__spent", spent).where(F.col("__spent") <= budget).select("line")
+
+
+def flow_chart(steps: DataFrame) -> DataFrame:
+    """(function, chart): a control flow (function, src, dst, label) as Mermaid text."""
+    label = F.when(F.col("label") != "", F.concat(F.lit("|"), "label", F.lit("|"))).otherwise(F.lit(""))
+    line = F.concat(F.lit("  "), "src", F.lit(" -->"), label, F.lit(" "), "dst")
+    return steps.groupBy("function").agg(F.concat(F.lit("flowchart TD\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("chart"))
+
+
+def etag_row(rows: DataFrame) -> DataFrame:
+    """(rows, tag): the count of a result and a hash that doesn't depend on the order of its rows."""
+    text = F.md5(F.to_json(F.struct(*sorted(rows.columns))))
+    return rows.agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(text, 1, 8), 16, 10).cast("long")).alias("tag"))

@@ -74,3 +74,39 @@ def alive(acks: DataFrame, now: str, ttl_seconds: int) -> DataFrame:
     """(key) whose latest acknowledgement is younger than a time to live."""
     last = acks.groupBy("key").agg(F.max("ts").alias("last"))
     return last.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last") < ttl_seconds).select("key")
+
+
+def affected(nodes: DataFrame, edges: DataFrame, files: DataFrame, kinds: list[str]) -> DataFrame:
+    """(file_path): changed files (file_path), and those with nodes that depend on nodes of changed files."""
+    mine = nodes.join(files, "file_path", "left_semi").select(F.col("id").alias("dst"))
+    users = edges.where(F.col("kind").isin(*kinds)).join(mine, "dst", "left_semi").select(F.col("src").alias("id"))
+    return nodes.join(users, "id", "left_semi").select("file_path").unionByName(files.select("file_path")).distinct()
+
+
+def recent(events: DataFrame, key: str, most: int, now: str, half_life_days: float) -> DataFrame:
+    """(key, kept, score): a bounded history of the newest events of each key, decayed."""
+    from pyspark.sql.window import Window
+
+    k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id")))
+    days = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("ts")) / 86400.0
+    return events.withColumn("__k", k).where(F.col("__k") <= most).groupBy(key).agg(F.count("*").alias("kept"), F.sum(F.exp(-F.log(F.lit(2.0)) / half_life_days * days)).alias("score"))
+
+
+STREAKS = "user_id long, n long, streak long, worst long"
+
+
+def streaks(events: DataFrame, bad: str) -> DataFrame:
+    """(user_id, n, streak, worst) as they stand: events of a session's user, ``bad`` ones in a row at the end, and the longest such run; state is three numbers a user."""
+    import pandas as pd
+
+    def update(key, frames, state):
+        n, streak, worst = state.get if state.exists else (0, 0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"]:
+            n, streak = n + 1, streak + 1 if kind == bad else 0
+            worst = max(worst, streak)
+        state.update((n, streak, worst))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "streak": [streak], "worst": [worst]})
+
+    slim = events.select("user_id", "ts", "event_id", "event_type")
+    return slim.groupBy("user_id").applyInPandasWithState(update, STREAKS, "n long, streak long, worst long", "update", "NoTimeout")

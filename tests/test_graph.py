@@ -152,3 +152,17 @@ def test_clone_clusters_hold_every_document(spark):
     got = {r.id: (r.cluster, r.links) for r in placed(pairs, held).collect()}
     assert got == {i: (min([i, *linked[i]]), len(linked[i])) for i in range(len(sets))}
     assert {(r.a, r.b) for r in all_pairs(pairs, held).collect()} == {(0, 1), (2, 3), (2, 4), (0, 5), (5, 6)}
+
+
+def test_communities_by_resolution_and_spectral_halves(spark):
+    blocks = [[f"g{g}{c}{i}" for i in range(4)] for g in range(4) for c in range(3)]
+    rows = [(a, b, 1.0) for block in blocks for k, a in enumerate(block) for b in block[k + 1 :]]
+    rows += [(blocks[k][0], blocks[k + 1][0], 1.0) for k in range(11) if k % 3 < 2] + [(blocks[3 * g][1], blocks[(3 * g + 3) % 12][1], 0.2) for g in range(4)]
+    edges_ = spark.createDataFrame(rows, "src string, dst string, w double")
+    nodes = ids(spark, " ".join(x for b in blocks for x in b))
+    counts = [len(set(pairs(an.communities(nodes, edges_, g)).values())) for g in (0.1, 1.0, 2.0)]
+    assert counts[0] < counts[1] <= counts[2] and counts[1] == 12
+    two = [[f"{g}{i:02d}" for i in range(12)] for g in "ab"]
+    cliques = [(a, b, 1.0) for block in two for k, a in enumerate(block) for b in block[k + 1 :]] + [("a00", "b00", 1.0)]
+    halves = pairs(an.spectral(ids(spark, " ".join(two[0] + two[1])), spark.createDataFrame(cliques, "src string, dst string, w double")))
+    assert {frozenset(v for v, c in halves.items() if c == k) for k in set(halves.values())} == {frozenset(two[0]), frozenset(two[1])}
