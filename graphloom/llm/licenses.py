@@ -4,7 +4,7 @@ A logistic regression over words and pairs of words, trained here on variations
 gives each paragraph a family or ``unknown``; the bar for a family is calibrated on variations it wasn't trained on.
 A prediction counts as confirmed if the paragraph holds nearly all words of one of the family's templates.  Paragraphs are
 lines, and the lines between blank ones as a whole: where the whole is confirmed as a family that none of its lines is, it stands
-for its unconfirmed lines.  Those without any of the ``ANCHORS``, one of which is in every template, aren't scored.
+for its unconfirmed lines.  Those without any of the ``ANCHORS``, one of which is in every template, aren't scored: they can't be confirmed.
 
 Defined results: a null, empty or licence-free text gives family ``none`` with no paragraphs; repeated rows each
 get their own row; a null id stays null; an empty table gives an empty result; other columns are ignored; a very long
@@ -23,25 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Lower-case strings of which every licence notice holds one.
-ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "creative commons", "spdx", "copyleft")
+#: Lower-case strings, at least one of which every template holds; without any a paragraph has no template's phrase and isn't scored.
+ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "creative commons", "spdx", "copyleft", "hereby granted", "redistribut", "gplv", "gpl v", "gpl-", "cc by", "cc-by", "cc0", "rechte vorbehalten", "droits réservés", "derechos reservados")
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "mit": ("Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, subject to the copyright notice and this permission notice"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    "mit": ("Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, subject to the copyright notice and this permission notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "GPLv3", "GPL v3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "GPLv2", "GPL v2", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
     "lgpl-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
     "agpl-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "bsd-3-clause": ("Distributed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
-    "bsd-2-clause": ("Distributed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "bsd-2-clause": ("Distributed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "isc": ("Released under the ISC License.", "SPDX-License-Identifier: ISC"),
+    "isc": ("Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by-nd-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0"),
     "cc0-1.0": ("Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "proprietary": ("Copyright. All rights reserved.", "Proprietary and confidential. All rights reserved. No licence is granted."),
+    "proprietary": ("Copyright. All rights reserved.", "Proprietary and confidential. All rights reserved. No licence is granted.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."),
 }
 OTHER = (
     "a driver must carry a valid license at all times", "the state will license new restaurants next year", "the copyright office moved to another building",

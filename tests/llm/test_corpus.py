@@ -315,6 +315,30 @@ def test_wrapped_licence_notice(spark):
     assert [(got[i].families, got[i].confirmed, got[i].paragraphs) for i in range(5)] == [("mit", True, 1), ("gpl-3.0", True, 1), ("gpl-3.0,mit", True, 2), ("unknown", False, 1), ("proprietary", True, 1)]
 
 
+def test_licence_notices_wrapped_at_eighty_columns(spark):
+    import textwrap
+
+    notices = {f: [t for t in ts if len(t.split()) > 20 or "Rechte" in t or t == "GPLv3"] for f, ts in licenses.TEMPLATES.items()}
+    rows = [(f, "Some words before.\n\n" + textwrap.fill(t, 80) + "\n\nand after it.") for f, ts in notices.items() for t in ts]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert len(rows) >= 8
+    for i, (family, text) in enumerate(rows):
+        assert family in got[i].families.split(",") and got[i].confirmed, text
+
+
+def test_licence_scores_against_numpy(spark):
+    model = licenses.train()
+    assert all(any(a in t.lower() for a in licenses.ANCHORS) for ts in licenses.TEMPLATES.values() for t in ts)
+    rng = random.Random(8)
+    vocabulary = [w for g in model.weights for w in g.split(" ")]
+    texts = ["license " + " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25))) for _ in range(40)]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in licenses.grams(licenses.plain_words(texts[r.doc_id])) if g in model.weights), np.zeros(len(model.bias)))
+        p = licenses.softmax(z[None])[0][:-1]
+        assert r.score == pytest.approx(p.max(), abs=2e-6) and r.paragraphs == 1
+        assert r.family == (model.families[int(p.argmax())] if p.max() >= model.bar else "unknown")
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
