@@ -25,12 +25,17 @@ from .common import materialize, offset_in, with_position
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Characters of a text that are tokenized at once, and units whose ids a worker remembers.
-SEGMENT, REMEMBERED = 1 << 20, 250_000
+#: Characters of a text that are tokenized at once, and units whose ids a worker remembers, in each of two generations.
+SEGMENT, REMEMBERED = 1 << 20, 500_000
 VOCABULARY = "byte_bpe_50k.json"
 _CUT, _BEFORE, _RUNS = re.compile(r" (?=\S)"), re.compile(r"(?= \S)"), re.compile(r" \s| $")
 
 
+#: The letters by which byte-level vocabularies write bytes: visible ones as they are, the others from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 class Units(dict):
     """Ids, as little-endian bytes, of units of text that begin with one space and end before the next.
 
@@ -42,6 +47,7 @@ class Units(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.before = self.tokenizer.model, {}
         special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special, self.markers = special, re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
 
@@ -50,9 +56,22 @@ class Units(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) > REMEMBERED:
+        ids = self.before.pop(unit, None)
+        if ids is not None:
+            self[unit] = ids
+            return ids
+        if len(self) > REMEMBERED:  # what is asked for again comes back from the generation before
+            self.before = dict(self)
             self.clear()
-        ids = self.encode(unit) if unit else b""
+        line = unit.find("\n")
+        if len(unit) > 2 and unit[-1] in ".,;:!?" and unit[-2].isalpha():  # letters and marks are tokens apart
+            ids = self[unit[:-1]] + self[unit[-1]]
+        elif 0 < line < len(unit) - 1 and not unit[line - 1].isspace() and not unit[line + 1].isspace():  # a line's end is a token of its own
+            ids = self[unit[:line]] + self["\n"] + self[unit[line + 1 :]]
+        elif (unit[1:] if unit[:1] == " " else unit).isalpha():  # one token of the pre-tokenizer, straight to the model
+            ids = np.asarray([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_BYTES))], dtype="<u4").tobytes()
+        else:
+            ids = self.encode(unit) if unit else b""
         if len(unit) < 64:
             self[unit] = ids
         return ids
