@@ -13,7 +13,7 @@ component's id while another id is there; repeated rows stay one row each; an em
 very long texts are hashed in parts; other columns are ignored.
 
 At 64 bits, texts that share four fifths of their shingles differ in about 9 bits, out of reach for the masks.  So
-:func:`keep_dissimilar` finds candidates by bands of least hashes instead and verifies each by its shingles.
+:func:`keep_dissimilar` takes SimHash fingerprints of 512 bits, each octet of them a table, and verifies what is close by its shingles.
 """
 
 from __future__ import annotations
@@ -29,13 +29,18 @@ from pyspark.sql import functions as F
 from .common import at_places, materialize, placed
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
-#: Words of a shingle and similarity of near duplicates where op1's contract doesn't rule; bands of least hashes and hashes of a band,
-#: which miss a pair of similarity 0.8 with a chance of 5e-8 and others with less.
-STAGE_SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 4
+#: Words of a shingle and similarity of near duplicates where op1's contract doesn't rule.
+STAGE_SHINGLE, SIMILAR = 5, 0.8
+#: Octets of a wide fingerprint; 64-bit words of it that are compared, and bits that may differ in the first half of them and in all.
+#: Of sets of similarity 0.8 a bit differs with a chance of 0.16 (0.185 for four shingles and five): no octet agrees with a chance
+#: of 2e-8 (9e-7), and more bits differ with less than 1e-7.
+OCTETS, WORDS, FAR_HALF, FAR = 64, 4, 48, 80
 #: Longest run that is compared in memory; shingles of a text that are hashed at once.
 RUN, PART = 2048, 1 << 16
 _LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: The bits of an octet, each in an octet of its own; 255 of these can be added.
+_SPREAD = _BITS.astype(np.uint8).view("<u8").ravel()
 
 
 def hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -230,26 +235,118 @@ def set_key(held: np.ndarray) -> int:
     return digest(held.tobytes(), 7)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, file, row, text) to (doc_id, file, row, key, n, bands): the hash and size of the set of shingles, and the hash of each band of its least hashes."""
-    from xxhash import xxh64_intdigest as digest
-
+def _salts(n: int) -> np.ndarray:
     draw = random.Random(5)
-    salts, factors = (np.array([draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64) for _ in range(2))
+    return np.array([draw.getrandbits(64) for _ in range(n)], np.uint64)
+
+
+def wide_fingerprint(held: np.ndarray, salts: np.ndarray = _salts(OCTETS // 8)) -> np.ndarray:
+    """The SimHash of a set of hashes, in ``OCTETS`` octets: a bit is 1 if it is in over half of them, each mixed with a salt for every 64 bits."""
+    ones = np.zeros(8 * OCTETS, np.int64)
+    for at in range(0, len(held), 255):
+        mixed = (held[at : at + 255, None] ^ salts) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+        mixed ^= mixed >> np.uint64(29)
+        ones += _SPREAD[mixed.astype("<u8").view(np.uint8)].sum(axis=0).astype("<u8").view(np.uint8)
+    return np.packbits(2 * ones > len(held), bitorder="little")
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, file, row, text) to (doc_id, file, row, key, n, fp): the hash and size of the set of shingles, and its fingerprint."""
     for batch in batches:
-        keys, sizes, bands = [], [], []
-        for text in batch.column(3):
-            held = shingle_set(text.as_py() or b"")
-            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-            for at in range(0, len(held), 512):
-                least = np.minimum(least, ((held[at : at + 512, None] ^ salts) * factors).min(axis=0))
-            keys.append(set_key(held))
-            sizes.append(len(held))
-            bands.append([digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(held) else [])
-        flat = np.array([b for own in bands for b in own], np.uint64).view(np.int64)
-        ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        own = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "file", "row", "key", "n", "bands"])
+        sets = [shingle_set(t.as_py() or b"") for t in batch.column(3)]
+        keys = np.array([set_key(held) for held in sets], np.uint64).view(np.int64)
+        own = [pa.array(keys), pa.array([len(held) for held in sets], pa.int64()), pa.array([wide_fingerprint(held).tobytes() for held in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "file", "row", "key", "n", "fp"])
+
+
+_TABLE_ROW = ["place", "key", "root", *[f"w{k}" for k in range(WORDS)]]
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n, fp, root) to a row for each octet: place (table, octet and n in one), key, root, first words of the fingerprint."""
+    for batch in batches:
+        m = batch.num_rows
+        fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(m, OCTETS)
+        place = (np.arange(OCTETS) * 256 + fp.astype(np.int64) << 32) + batch.column(1).to_numpy()[:, None]
+        words = np.ascontiguousarray(fp[:, : 8 * WORDS]).view("<i8")
+        each = [np.repeat(c, OCTETS) for c in (batch.column(0).to_numpy(), batch.column(3).to_numpy(), *words.T)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place.ravel(), *each)], names=_TABLE_ROW)
+
+
+def _near(rows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i < j) of close fingerprints (row by row, in words) whose sizes ``n``, ascending, allow the similarity; a block at once."""
+    ends = np.searchsorted(SIMILAR * n, n, "right")
+    columns = [np.ascontiguousarray(c) for c in rows.view(np.uint64).T]
+    for s in range(0, len(n), 128):
+        e = min(len(n), s + 128)
+        for c in range(s, int(ends[e - 1]), 2048):
+            f = min(int(ends[e - 1]), c + 2048)
+            some = sum(np.bitwise_count(w[s:e, None] ^ w[c:f]) for w in columns[: WORDS // 2])
+            i, j = np.nonzero(some <= FAR_HALF)
+            i, j = i + s, j + c
+            i, j = (x[(i < j) & (j < ends[i])] for x in (i, j))
+            good = sum(np.bitwise_count(w[i] ^ w[j]) for w in columns) <= FAR
+            if good.any():
+                yield i[good], j[good]
+
+
+def _close(batches: Iterator[pa.RecordBatch], rooted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_tables`, sorted, to pairs (a, b) of close keys.
+
+    First each row with its first close one before and after it, so all that have company are there; ``rooted``: all with another root.
+    """
+
+    def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, np.diff(rows[:, 0] >> 32) != 0)) if len(rows) else []
+        for s, e in zip(starts, [*starts[1:], len(rows)]):
+            own, n, table = rows[s:e], rows[s:e, 0] & 0xFFFFFFFF, int(rows[s, 0] >> 40)
+            words = np.ascontiguousarray(own[:, 3:])
+            octets = words.view(np.uint8)[:, :table]
+            before, after = np.full(e - s, -1), np.full(e - s, -1)
+            for i, j in _near(words, n):
+                if rooted:
+                    # Those that agree in an earlier octet meet there.
+                    new = (own[i, 2] != own[j, 2]) & ~(octets[i] == octets[j]).any(axis=1)
+                    if new.any():
+                        yield pairs(own[i[new], 1], own[j[new], 1])
+                else:
+                    for at, one, other in ((after, i, j), (before, j, i)):
+                        u, k = np.unique(one, return_index=True)
+                        at[u] = np.where(at[u] < 0, other[k], at[u])
+            for at in (before, after):
+                if (at >= 0).any():
+                    yield pairs(own[at >= 0, 1], own[at[at >= 0], 1])
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def joined(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found, waiting = [], 0
+        for some in solve(rows):
+            found.append(some)
+            waiting += some.num_rows
+            if waiting > 1 << 16:
+                yield pa.concat_batches(found)
+                found, waiting = [], 0
+        if found:
+            yield pa.concat_batches(found)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        last = int(np.argmax(rows[:, 0] >> 32 == rows[-1, 0] >> 32))
+        if held and (last or held[0][0, 0] >> 32 != rows[0, 0] >> 32):  # else the run goes on
+            yield from joined(np.concatenate([*held, rows[:last]]))
+            held = []
+        elif last:
+            yield from joined(rows[:last])
+        held.append(rows[last:])
+    if held:
+        yield from joined(np.concatenate(held))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,37 +357,45 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held.view(np.int64)))], names=["key", "held"])
 
 
-def keep_dissimilar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` without near duplicates, all columns: linked are texts whose sets of five-word runs have that Jaccard similarity.
+def close_pairs(nodes: DataFrame, rooted: bool = False) -> DataFrame:
+    """Pairs (a < b) of the keys of ``nodes`` (key, n, fp, root) whose fingerprints are close; see :func:`_close` for which."""
+    each = nodes.select("key", "n", "fp", "root").mapInArrow(_tables, ", ".join(f"{c} long" for c in _TABLE_ROW))
+    met = each.repartition(F.shiftright("place", 32)).sortWithinPartitions("place", "key")
+    return met.mapInArrow(lambda it: _close(it, rooted), "a long, b long").distinct()
+
+
+def keep_dissimilar(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns: linked are texts whose sets of five-word runs have a Jaccard similarity of ``SIMILAR``.
 
-    Texts of equal sets are one node.  The members of a band's bucket are compared with its smallest one first; then those that
-    still are in different components with each other, so many variations of a text don't meet in pairs.  Texts stay where they are:
-    what moves are hashes of bands, and the sets of shingles of texts that have company.
+    Texts of equal sets are one node with one SimHash fingerprint.  Nodes that agree in an octet of it are compared, and pairs that are
+    close are verified by their shingles: first each node with its neighbours in an octet, then those that still are in different
+    components with each other, so many variations of a text don't meet in pairs.  Texts stay where they are: what moves are
+    fingerprints, and the sets of shingles of texts that have company.
     """
     docs, file, row = placed(docs, "dedup-input")
     keyed = docs.select(F.col("doc_id").cast("long"), file.alias("file"), row.alias("row"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(keyed.mapInArrow(_banded, "doc_id long, file long, row long, key long, n long, bands array<long>"), "bands")
-    each = rows.groupBy("key").agg(F.min_by(F.struct("file", "row", "n", "bands"), F.struct("file", "row")).alias("one")).select("key", "one.n", "one.file", "one.row", F.explode("one.bands").alias("bucket"))
-    many = each.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1").select("bucket", F.col("pivot.key").alias("pivot"), F.col("pivot.n").alias("pn"))
-    met = materialize(each.join(many, "bucket"), "buckets")
+    rows = materialize(keyed.mapInArrow(_wide, "doc_id long, file long, row long, key long, n long, fp binary"), "wide-fingerprints")
+    # Sets of fewer than four shingles are only similar if they are equal.
+    some = rows.where(F.col("n") >= SIMILAR * (F.col("n") + 1)).groupBy("key").agg(F.min_by(F.struct("file", "row", "n", "fp"), F.struct("file", "row")).alias("one"))
+    nodes = some.select("key", "one.file", "one.row", "one.n", "one.fp")
+    asked = materialize(close_pairs(nodes.withColumn("root", F.lit(0).cast("long"))), "close")
+    company = asked.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    nodes = materialize(nodes.join(company, "key"), "company")
     # One text for each set that has company; its shingles are the same for every text of the set.
-    asked = at_places(docs, file, row, met.select("file", "row").distinct())
-    sets = materialize(asked.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "key long, held array<long>"), "shingle-sets")
+    texts = at_places(docs, file, row, nodes.select("file", "row"))
+    sets = materialize(texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "key long, held array<long>"), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
-        both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+        return both.where(shared >= SIMILAR * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    first = materialize(verified(met.select(F.col("pivot").alias("a"), F.col("pn").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb"))), "near")
+    first = materialize(verified(asked), "near")
     star = components(first).toDF("key", "root")
-    ranked = materialize(met.select("bucket", "key", "n").join(star, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
-    open_ = ranked.join(ranked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "bucket")
-    left, right = open_.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), open_.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    second = verified(left.join(right, "bucket").where("ra <> rb"))
+    placed_ = nodes.join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    second = verified(close_pairs(placed_, rooted=True).join(asked, ["a", "b"], "left_anti"))
     star = components(first.unionByName(second)).toDF("key", "root")
-    return at_places(docs, file, row, _least(rows.drop("bands").join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))))
+    return at_places(docs, file, row, _least(rows.drop("fp").join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,6 +89,41 @@ def test_near_copies_of_four_fifths(spark, docs, empty):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(expected)
 
 
+def test_near_dedup_compares_simhash_fingerprints(spark):
+    rng = random.Random(3)
+    sets = []
+    for _ in range(40):  # families of sets around the similarity, of four shingles and more
+        base = [rng.getrandbits(64) for _ in range(rng.choice((4, 5, 9, 40, 300)))]
+        for _ in range(rng.randrange(1, 6)):
+            sets.append(np.unique(np.array([h if rng.random() > 0.1 else rng.getrandbits(64) for h in base] + [rng.getrandbits(64)] * rng.randrange(2), np.uint64)))
+    fps = [simhash.wide_fingerprint(s) for s in sets]
+    salts = [int(s) for s in simhash._salts(8)]
+
+    def mix(h, salt):
+        h = (h ^ salt) * 0xFF51AFD7ED558CCD % 2**64
+        h = (h ^ h >> 32) * 0xC4CEB9FE1A85EC53 % 2**64
+        return h ^ h >> 29
+
+    for s, fp in zip(sets[:30], fps):
+        ones = [sum(mix(int(h), salt) >> k & 1 for h in s) for salt in salts for k in range(64)]
+        assert [int(b) for b in np.unpackbits(fp, bitorder="little")] == [int(2 * o > len(s)) for o in ones]
+    values = [int.from_bytes(f.tobytes(), "little") for f in fps]
+    expected, beside = set(), set()
+    for a in range(len(sets)):
+        for b in range(a):
+            bits = values[a] ^ values[b]
+            sizes = sorted((len(sets[a]), len(sets[b])))
+            if sizes[0] >= 0.8 * sizes[1] and (bits % 2**128).bit_count() <= simhash.FAR_HALF and (bits % 2**256).bit_count() <= simhash.FAR and (fps[a] == fps[b]).any():
+                expected.add((b, a))
+                beside |= {a, b}
+            if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                assert (b, a) in expected
+    nodes = spark.createDataFrame([(k, len(s), bytearray(f.tobytes()), k) for k, (s, f) in enumerate(zip(sets, fps))], "key long, n long, fp binary, root long").repartition(3)
+    assert len(expected) > 40 and {tuple(r) for r in simhash.close_pairs(nodes, rooted=True).collect()} == expected
+    first = {tuple(r) for r in simhash.close_pairs(nodes).collect()}
+    assert first <= expected and {k for pair in first for k in pair} == beside
+
+
 def test_covering_masks_and_long_runs(spark):
     masks = [m & (1 << 64) - 1 for m in simhash.masks()]
     rng = random.Random(1)
