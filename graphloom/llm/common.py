@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,6 +110,53 @@ def at_places(docs: DataFrame, file: Column, row: Column, chosen: DataFrame) ->
     return at.withColumn(bucket, F.bitmap_bucket_number(r)).join(F.broadcast(maps), [f, bucket]).where(held).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+Batches = Iterator[pa.RecordBatch]
+#: Rows of a batch that an operator takes at once, where each row's work needs room.
+SLICE = 512
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from one task to the next, until :func:`begin` lets it go."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def begin(keeps: str = "") -> None:
+    """At a task's start: of what the worker keeps only ``keeps`` stays, and freed memory goes back to the system."""
+    for name in [k for k in _kept if k != keeps]:
+        del _kept[name]
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory that Arrow and the C library hold for later goes back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Batches], Batches], keeps: str = "") -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow in a worker that other operators use too: nothing of theirs stays beside it, and little of its own after it."""
+
+    def task(batches: Batches) -> Batches:
+        begin(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Batches:
+    """A batch in parts of at most so many rows."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def id_crc(doc_id: Column | str) -> Column:
     """CRC-32 of an id written as text; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, lean
 
 #: Most labelled rows that a model is fitted on; with more, those whose hash comes first.
 MAX_LABELLED = 20_000
@@ -36,7 +36,7 @@ def matrix(rows: DataFrame, features: Callable[[bytes], list[float]], width: int
             found = [features(t.as_py() or b"") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "x", "y"])
 
-    table = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y").mapInArrow(run, "doc_id long, x array<double>, y double").toArrow()
+    table = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "y").mapInArrow(lean(run), "doc_id long, x array<double>, y double").toArrow()
     ids, y = table.column("doc_id").to_numpy(), table.column("y").to_numpy()
     x = np.array(table.column("x").combine_chunks().values.to_numpy()).reshape(-1, width) if len(ids) else np.empty((0, width))
     order = np.lexsort((*x.T, ids)) if len(ids) else np.empty(0, np.int64)

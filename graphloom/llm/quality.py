@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc
+from .common import id_crc, lean, slices
 from .gbt import Forest, fit, sigmoid
 from .labelled import labelled_texts, matrix, training_labels
 
@@ -141,10 +141,10 @@ def keep_rows(docs: DataFrame, judge: Callable[[list[bytes]], np.ndarray]) -> Da
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(judge([(t.as_py() or "").encode() for t in batch.column(at)])))
+            for part in slices(batch):
+                yield part.filter(pa.array(judge([(t.as_py() or "").encode() for t in part.column(at)])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

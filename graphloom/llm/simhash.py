@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_places, materialize, placed
+from .common import at_places, lean, materialize, placed, slices
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
 #: Words of a shingle and similarity of near duplicates where op1's contract doesn't rule.
@@ -255,9 +255,13 @@ def wide_fingerprint(held: np.ndarray, salts: np.ndarray = _salts(OCTETS // 8))
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, file, row, text) to (doc_id, file, row, key, n, fp): the hash and size of the set of shingles, and its fingerprint."""
     for batch in batches:
-        sets = [shingle_set(t.as_py() or b"") for t in batch.column(3)]
-        keys = np.array([set_key(held) for held in sets], np.uint64).view(np.int64)
-        own = [pa.array(keys), pa.array([len(held) for held in sets], pa.int64()), pa.array([wide_fingerprint(held).tobytes() for held in sets], pa.binary())]
+        keys, sizes, fps = [], [], []
+        for text in batch.column(3):
+            held = shingle_set(text.as_py() or b"")
+            keys.append(set_key(held))
+            sizes.append(len(held))
+            fps.append(wide_fingerprint(held).tobytes())
+        own = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "file", "row", "key", "n", "fp"])
 
 
@@ -266,7 +270,7 @@ _TABLE_ROW = ["place", "key", "root", *[f"w{k}" for k in range(WORDS)]]
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n, fp, root) to a row for each octet: place (table, octet and n in one), key, root, first words of the fingerprint."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         m = batch.num_rows
         fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(m, OCTETS)
         place = (np.arange(OCTETS) * 256 + fp.astype(np.int64) << 32) + batch.column(1).to_numpy()[:, None]
@@ -359,9 +363,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def close_pairs(nodes: DataFrame, rooted: bool = False) -> DataFrame:
     """Pairs (a < b) of the keys of ``nodes`` (key, n, fp, root) whose fingerprints are close; see :func:`_close` for which."""
-    each = nodes.select("key", "n", "fp", "root").mapInArrow(_tables, ", ".join(f"{c} long" for c in _TABLE_ROW))
+    each = nodes.select("key", "n", "fp", "root").mapInArrow(lean(_tables), ", ".join(f"{c} long" for c in _TABLE_ROW))
     met = each.repartition(F.shiftright("place", 32)).sortWithinPartitions("place", "key")
-    return met.mapInArrow(lambda it: _close(it, rooted), "a long, b long").distinct()
+    return met.mapInArrow(lean(lambda it: _close(it, rooted)), "a long, b long").distinct()
 
 
 def keep_dissimilar(docs: DataFrame) -> DataFrame:
@@ -374,7 +378,7 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     """
     docs, file, row = placed(docs, "dedup-input")
     keyed = docs.select(F.col("doc_id").cast("long"), file.alias("file"), row.alias("row"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(keyed.mapInArrow(_wide, "doc_id long, file long, row long, key long, n long, fp binary"), "wide-fingerprints")
+    rows = materialize(keyed.mapInArrow(lean(_wide), "doc_id long, file long, row long, key long, n long, fp binary"), "wide-fingerprints")
     # Sets of fewer than four shingles are only similar if they are equal.
     some = rows.where(F.col("n") >= SIMILAR * (F.col("n") + 1)).groupBy("key").agg(F.min_by(F.struct("file", "row", "n", "fp"), F.struct("file", "row")).alias("one"))
     nodes = some.select("key", "one.file", "one.row", "one.n", "one.fp")
@@ -383,7 +387,7 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes.join(company, "key"), "company")
     # One text for each set that has company; its shingles are the same for every text of the set.
     texts = at_places(docs, file, row, nodes.select("file", "row"))
-    sets = materialize(texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "key long, held array<long>"), "shingle-sets")
+    sets = materialize(texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sets), "key long, held array<long>"), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")

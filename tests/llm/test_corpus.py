@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import gbt, licenses, media, mixing, packing, quality, sharding, simhash, topk, toxicity, urlfilter
+from graphloom.llm import common, gbt, licenses, media, mixing, packing, quality, sharding, simhash, topk, toxicity, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int"
 BASE = " ".join(f"word{i}" for i in range(400))
@@ -450,6 +451,25 @@ def test_toxic_words_of_a_small_language(spark):
     assert marked >= toxicity.THRESHOLD > clean
 
 
+def test_workers_let_go_of_other_operators_words(spark):
+    rows = [(i, f"wort{i} " * 40) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._kept)], pa.int64())], names=["n"])
+
+    packing.pack(docs).count()
+    judged = quality.keep_rows(docs, lambda texts: np.array([len(texts) <= common.SLICE] * len(texts)))
+    assert sorted(r.doc_id for r in judged.collect()) == list(range(1200))
+    assert {r.n for r in docs.mapInArrow(common.lean(held), "n long").collect()} == {0}
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], names=["doc_id", "text"])
+    own = packing.units()
+    assert sum(b.num_rows for b in common.lean(lambda it: packing._tokenize(it, 2048, packing.VOCABULARY), f"units {packing.VOCABULARY}")(iter([batch]))) == 2
+    assert packing.units() is own
+    assert list(common.lean(held)(iter([batch]))) and packing.units() is not own
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
