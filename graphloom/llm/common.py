@@ -123,10 +123,9 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _kept[name]
 
 
-def begin(keeps: str = "") -> None:
-    """At a task's start: of what the worker keeps only ``keeps`` stays, and freed memory goes back to the system."""
-    for name in [k for k in _kept if k != keeps]:
-        del _kept[name]
+def begin() -> None:
+    """At a task's start: what the worker kept goes, and freed memory back to the system."""
+    _kept.clear()
     give_back()
 
 
@@ -139,11 +138,11 @@ def give_back() -> None:
         pass
 
 
-def lean(run: Callable[[Batches], Batches], keeps: str = "") -> Callable[[Batches], Batches]:
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` for mapInArrow in a worker that other operators use too: nothing of theirs stays beside it, and little of its own after it."""
 
     def task(batches: Batches) -> Batches:
-        begin(keeps)
+        begin()
         try:
             yield from run(batches)
         finally:

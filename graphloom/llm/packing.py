@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, lean, materialize, offset_in, with_position
+from .common import kept, materialize, offset_in, with_position
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -104,7 +104,7 @@ class Units(dict):
 
 
 def units(name: str = VOCABULARY) -> Units:
-    """The worker's own tokenizer, kept while its tasks are of packing with it."""
+    """The worker's own tokenizer, kept until a task of :func:`common.lean` begins."""
 
     def make() -> Units:
         import public_tokenizers
@@ -139,7 +139,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str)
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """The token pieces of each document; texts never leave the partition that read them."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(lambda it: _tokenize(it, capacity, vocabulary), f"units {vocabulary}"), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _tokenize(it, capacity, vocabulary), PIECES)
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:

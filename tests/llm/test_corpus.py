@@ -465,7 +465,7 @@ def test_workers_let_go_of_other_operators_words(spark):
     assert {r.n for r in docs.mapInArrow(common.lean(held), "n long").collect()} == {0}
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], names=["doc_id", "text"])
     own = packing.units()
-    assert sum(b.num_rows for b in common.lean(lambda it: packing._tokenize(it, 2048, packing.VOCABULARY), f"units {packing.VOCABULARY}")(iter([batch]))) == 2
+    assert sum(b.num_rows for b in packing._tokenize(iter([batch]), 2048, packing.VOCABULARY)) == 2
     assert packing.units() is own
     assert list(common.lean(held)(iter([batch]))) and packing.units() is not own
 
