@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_places, lean, materialize, placed, slices
+from .common import at_places, begin, give_back, lean, materialize, placed, slices, small_side
 
 WIDTH, RADIUS, SHINGLE = 64, 4, 4
 #: Words of a shingle and similarity of near duplicates where op1's contract doesn't rule.
@@ -37,6 +37,8 @@ STAGE_SHINGLE, SIMILAR = 5, 0.8
 OCTETS, WORDS, FAR_HALF, FAR = 64, 4, 48, 80
 #: Longest run that is compared in memory; shingles of a text that are hashed at once.
 RUN, PART = 2048, 1 << 16
+#: Shingles of the sets that share a spot, about; what a set counts besides its own, so a spot of small sets is no crowd of pairs.
+SPOT, ASIDE = 1 << 19, 512
 _LOWER = bytes(range(256)).replace(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: The bits of an octet, each in an octet of its own; 255 of these can be added.
@@ -265,18 +267,18 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "file", "row", "key", "n", "fp"])
 
 
-_TABLE_ROW = ["place", "key", "root", *[f"w{k}" for k in range(WORDS)]]
+_TABLE_ROW = ["place", "key", *[f"w{k}" for k in range(WORDS)]]
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, fp, root) to a row for each octet: place (table, octet and n in one), key, root, first words of the fingerprint."""
+    """Rows (key, n, fp, more) to a row for each octet: place (table, octet and n in one), key, first words of the fingerprint, more."""
     for batch in (part for whole in batches for part in slices(whole)):
         m = batch.num_rows
         fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(m, OCTETS)
         place = (np.arange(OCTETS) * 256 + fp.astype(np.int64) << 32) + batch.column(1).to_numpy()[:, None]
         words = np.ascontiguousarray(fp[:, : 8 * WORDS]).view("<i8")
-        each = [np.repeat(c, OCTETS) for c in (batch.column(0).to_numpy(), batch.column(3).to_numpy(), *words.T)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place.ravel(), *each)], names=_TABLE_ROW)
+        each = [np.repeat(c, OCTETS) for c in (batch.column(0).to_numpy(), *words.T, *(c.to_numpy() for c in batch.columns[3:]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place.ravel(), *each)], names=[*_TABLE_ROW, *batch.schema.names[3:]])
 
 
 def _near(rows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -297,34 +299,36 @@ def _near(rows: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def _close(batches: Iterator[pa.RecordBatch], rooted: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of :func:`_tables`, sorted, to pairs (a, b) of close keys.
+    """Rows of :func:`_tables`, sorted, to pairs (a, b) of close keys, with the lesser and the greater of their spots (0 without any).
 
     First each row with its first close one before and after it, so all that have company are there; ``rooted``: all with another root.
     """
+    root, spot = len(_TABLE_ROW), len(_TABLE_ROW) + 1
 
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, np.diff(rows[:, 0] >> 32) != 0)) if len(rows) else []
         for s, e in zip(starts, [*starts[1:], len(rows)]):
             own, n, table = rows[s:e], rows[s:e, 0] & 0xFFFFFFFF, int(rows[s, 0] >> 40)
-            words = np.ascontiguousarray(own[:, 3:])
+            words = np.ascontiguousarray(own[:, 2 : 2 + WORDS])
             octets = words.view(np.uint8)[:, :table]
             before, after = np.full(e - s, -1), np.full(e - s, -1)
             for i, j in _near(words, n):
                 if rooted:
                     # Those that agree in an earlier octet meet there.
-                    new = (own[i, 2] != own[j, 2]) & ~(octets[i] == octets[j]).any(axis=1)
+                    new = (own[i, root] != own[j, root]) & ~(octets[i] == octets[j]).any(axis=1)
                     if new.any():
-                        yield pairs(own[i[new], 1], own[j[new], 1])
+                        yield pairs(own[i[new]], own[j[new]])
                 else:
                     for at, one, other in ((after, i, j), (before, j, i)):
                         u, k = np.unique(one, return_index=True)
                         at[u] = np.where(at[u] < 0, other[k], at[u])
             for at in (before, after):
                 if (at >= 0).any():
-                    yield pairs(own[at >= 0, 1], own[at[at >= 0], 1])
+                    yield pairs(own[at >= 0], own[at[at >= 0]])
 
-    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def pairs(one: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        ends = [(r[:, 1], r[:, spot] if r.shape[1] > spot else np.zeros(len(r), np.int64)) for r in (one, other)]
+        return pa.RecordBatch.from_arrays([pa.array(f(*x)) for x in zip(*ends) for f in (np.minimum, np.maximum)], names=["a", "b", "low", "high"])
 
     def joined(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         found, waiting = [], 0
@@ -361,11 +365,67 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held.view(np.int64)))], names=["key", "held"])
 
 
+def _met(nodes: DataFrame, rooted: bool) -> DataFrame:
+    """a, b, low, high of :func:`_close`, a pair once or more, of ``nodes`` (key, n, fp; if ``rooted`` root, and spot where there is one)."""
+    more = [c for c in ("root", "spot") if rooted and c in nodes.columns]
+    each = nodes.select("key", "n", "fp", *more).mapInArrow(lean(_tables), ", ".join(f"{c} long" for c in [*_TABLE_ROW, *more]))
+    met = each.repartition(F.shiftright("place", 32)).sortWithinPartitions("place", "key")
+    return met.mapInArrow(lean(lambda it: _close(it, rooted)), "a long, b long, low long, high long")
+
+
 def close_pairs(nodes: DataFrame, rooted: bool = False) -> DataFrame:
     """Pairs (a < b) of the keys of ``nodes`` (key, n, fp, root) whose fingerprints are close; see :func:`_close` for which."""
-    each = nodes.select("key", "n", "fp", "root").mapInArrow(lean(_tables), ", ".join(f"{c} long" for c in _TABLE_ROW))
-    met = each.repartition(F.shiftright("place", 32)).sortWithinPartitions("place", "key")
-    return met.mapInArrow(lean(lambda it: _close(it, rooted)), "a long, b long").distinct()
+    return _met(nodes, rooted).select("a", "b").distinct()
+
+
+def spots(nodes: DataFrame, pairs: DataFrame, room: int = SPOT) -> DataFrame:
+    """key, spot of ``nodes`` (key, n): sets that ``pairs`` connect share a spot, of ``room`` or about as much.
+
+    Small families share a spot with others, large ones are spread over several.  Which set is where only decides how often sets move.
+    """
+    family = components(pairs).toDF("key", "family")
+    taken = nodes.select("key", (F.col("n") + ASIDE).alias("room"))
+    held = materialize(taken.join(family, "key", "left").withColumn("family", F.coalesce("family", "key")), "families")
+    bins = max(1, -(-(held.agg(F.sum("room")).first()[0] or 0) // room))
+    size = held.groupBy("family").agg(F.sum("room").alias("size"))
+    own = F.xxhash64("family", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / room)))
+    spot = F.when(F.col("size") > room, own).otherwise(F.xxhash64(F.pmod(F.xxhash64("family"), F.lit(bins))))
+    return held.join(size, "family").select("key", spot.alias("spot"))
+
+
+def _similar(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs (a, b) of a place whose ``sets`` (key, held) have the similarity."""
+    begin()
+    try:
+        order = np.argsort(keys := sets.column("key").to_numpy(), kind="stable")
+        held = sets.column("held").combine_chunks()
+        ends = np.append(0, np.cumsum(sizes := np.diff(held.offsets.to_numpy())))
+        distinct, ids = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        at = [order[np.searchsorted(keys, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b")]
+        by = np.argsort(at[0], kind="stable")
+        a, b = (x[by] for x in at)
+        mark, good = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+        for s, e in zip(starts, [*starts[1:], len(a)]):
+            own = ids[ends[a[s]] : ends[a[s] + 1]]
+            mark[own] = True
+            for k in range(s, e):
+                shared = np.count_nonzero(mark[ids[ends[b[k]] : ends[b[k] + 1]]])
+                good[k] = shared >= SIMILAR * (sizes[a[k]] + sizes[b[k]] - shared)
+            mark[own] = False
+        return pairs.select(["a", "b"]).take(pa.array(by[good]))
+    finally:
+        give_back()
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b, place; materialized) whose ``sets`` (key, held) have the similarity, exactly.
+
+    A set goes once to each place where it is in a pair, however many pairs it has there.
+    """
+    needed = materialize(pairs.select("place", F.explode(F.array("a", "b")).alias("key")).distinct(), "needed")
+    there = sets.join(small_side(needed, needed.count()), "key").select("place", "key", "held")
+    return pairs.groupBy("place").cogroup(there.groupBy("place")).applyInArrow(_similar, "a long, b long")
 
 
 def keep_dissimilar(docs: DataFrame) -> DataFrame:
@@ -374,7 +434,7 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     Texts of equal sets are one node with one SimHash fingerprint.  Nodes that agree in an octet of it are compared, and pairs that are
     close are verified by their shingles: first each node with its neighbours in an octet, then those that still are in different
     components with each other, so many variations of a text don't meet in pairs.  Texts stay where they are: what moves are
-    fingerprints, and the sets of shingles of texts that have company.
+    fingerprints, and the sets of shingles of texts that have company, once to each place where families of them are verified.
     """
     docs, file, row = placed(docs, "dedup-input")
     keyed = docs.select(F.col("doc_id").cast("long"), file.alias("file"), row.alias("row"), F.col("text").cast("binary").alias("text"))
@@ -382,22 +442,21 @@ def keep_dissimilar(docs: DataFrame) -> DataFrame:
     # Sets of fewer than four shingles are only similar if they are equal.
     some = rows.where(F.col("n") >= SIMILAR * (F.col("n") + 1)).groupBy("key").agg(F.min_by(F.struct("file", "row", "n", "fp"), F.struct("file", "row")).alias("one"))
     nodes = some.select("key", "one.file", "one.row", "one.n", "one.fp")
-    asked = materialize(close_pairs(nodes.withColumn("root", F.lit(0).cast("long"))), "close")
+    asked = materialize(close_pairs(nodes), "close")
     company = asked.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     nodes = materialize(nodes.join(company, "key"), "company")
     # One text for each set that has company; its shingles are the same for every text of the set.
     texts = at_places(docs, file, row, nodes.select("file", "row"))
     sets = materialize(texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sets), "key long, held array<long>"), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared >= SIMILAR * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-    first = materialize(verified(asked), "near")
+    where = materialize(spots(nodes, asked), "spots")
+    place = F.xxhash64(F.least("low", "high"), F.greatest("low", "high")).alias("place")
+    near = small_side(where, where.count())
+    both = asked.join(near.toDF("a", "low"), "a").join(near.toDF("b", "high"), "b")
+    first = materialize(similar_pairs(materialize(both.select("a", "b", place), "asked"), sets), "near")
     star = components(first).toDF("key", "root")
-    placed_ = nodes.join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    second = verified(close_pairs(placed_, rooted=True).join(asked, ["a", "b"], "left_anti"))
+    rooted = nodes.join(near, "key").join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # A pair that was asked before does no harm, nor one that is there twice; to find them would move all pairs once more.
+    second = similar_pairs(materialize(_met(rooted, True).select("a", "b", place), "rooted"), sets)
     star = components(first.unionByName(second)).toDF("key", "root")
     return at_places(docs, file, row, _least(rows.drop("fp").join(star, "key", "left").withColumn("root", F.coalesce("root", "key"))))
 

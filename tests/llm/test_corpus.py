@@ -125,6 +125,53 @@ def test_near_dedup_compares_simhash_fingerprints(spark):
     assert first <= expected and {k for pair in first for k in pair} == beside
 
 
+def test_near_dedup_moves_each_set_once_to_a_place(spark):
+    rng = random.Random(11)
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(sc.statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(sc.statusStore().executorList(False).size()))
+
+    # Variations of one text that share five eighths: all pairs are close, none is similar but those of a copy.
+    base, rows = [f"w{rng.randrange(900)}" for _ in range(300)], []
+    for i in range(150):
+        own = [f"v{rng.randrange(900)}" for _ in range(90)]
+        rows.append((2 * i, " ".join(base + own), "en", "src0", 1, 1.0, 2))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(base + own[:-1] + ["changed"]), "en", "src0", 1, 1.0, 2))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the sets are many
+    try:
+        before = moved()
+        kept = simhash.keep_dissimilar(spark.createDataFrame(rows, SCHEMA).repartition(3))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 300, 2))
+        assert moved() - before < 3_000_000  # 6.9 MB with a set for each pair
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_similar_pairs_wherever_sets_are(spark):
+    rng = random.Random(12)
+    sets = []
+    for _ in range(12):
+        family = [rng.getrandbits(63) for _ in range(rng.choice((4, 30, 200)))]
+        for _ in range(rng.randrange(1, 14)):
+            sets.append({h if rng.random() > 0.08 else rng.getrandbits(63) for h in family})
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if rng.random() < 0.5 or len(sets[a] & sets[b])]
+    expected = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b])]  # links from which families come; other pairs lie across
+    nodes = spark.createDataFrame([(k, len(s)) for k, s in enumerate(sets)], "key long, n long")
+    held = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "key long, held array<long>").repartition(3)
+    assert len(expected) > 20
+    for room in (1, 3000, simhash.SPOT):
+        where = {r.key: r.spot for r in simhash.spots(nodes, spark.createDataFrame(near, "a long, b long"), room).collect()}
+        assert len(where) == len(sets) and (len(set(where.values())) > 12) == (room < simhash.SPOT)
+        rows = [(a, b, hash((min(where[a], where[b]), max(where[a], where[b])))) for a, b in pairs]
+        found = simhash.similar_pairs(spark.createDataFrame(rows, "a long, b long, place long").repartition(3), held).collect()
+        assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+
+
 def test_covering_masks_and_long_runs(spark):
     masks = [m & (1 << 64) - 1 for m in simhash.masks()]
     rng = random.Random(1)
