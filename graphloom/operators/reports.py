@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.durable import fixpoint, ranked
+from ..plans.durable import durable, fixpoint, ranked
 from ..plans.model import Graph, rank
 from .analytics import strong_components
 from .filters import is_test
@@ -45,10 +45,11 @@ def novelty(heat: Column, days: Column, window: float) -> Column:
 
 def deepest_loops(ids: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, total) of ids (id, loop) over calls (src, dst): own loops and the most that lies below; a cycle counts its deepest member once."""
-    component = strong_components(ids.select("id"), calls)
+    calls = durable(calls.select("src", "dst").distinct(), "loops-calls")
+    component = durable(strong_components(ids.select("id"), calls), "loops")
     own = ids.join(component, "id").groupBy("component").agg(F.max("loop").cast("long").alias("own"))
     a, b = component.toDF("src", "ca"), component.toDF("dst", "cb")
-    dag = calls.select("src", "dst").join(a, "src").join(b, "dst").where("ca <> cb").select("ca", "cb").distinct()
+    dag = durable(calls.join(a, "src").join(b, "dst").where("ca <> cb").select("ca", "cb").distinct(), "loops-dag")
 
     def step(state: DataFrame) -> DataFrame:
         below = dag.join(state.select(F.col("component").alias("cb"), "total"), "cb").groupBy(F.col("ca").alias("component")).agg(F.max("total").alias("below"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import shingles
 from graphloom.operators import analytics as an
 from graphloom.operators import filters as fl
+from graphloom.operators import reports as rp
 from graphloom.operators import retrieval as rt
 from graphloom.operators import traverse as tr
 from graphloom.operators.dedup import all_pairs, members, near_pairs, placed
@@ -77,6 +78,17 @@ def test_distributed_forms_agree_with_those_in_one_task(spark):
     assert pairs(an.betweenness(nodes, e, small_edges=-1)) == pytest.approx(pairs(an.betweenness(nodes, e)))
 
 
+def test_graphs_without_edges_to_solve(spark):
+    e, nodes = edges(spark, "a>b b>c a>c c>d"), ids(spark, "a b c d")
+    none, own = e.where("src = 'z'").withColumn("w", F.lit(1.0)), {v: v for v in "abcd"}
+    for least in (-1, 1, 3):
+        assert pairs(an.strong_components(nodes, e, small_edges=least)) == own
+    assert pairs(an.strong_components(nodes, none)) == own and pairs(an.k_core(nodes, none)) == dict.fromkeys("abcd", 0)
+    assert pairs(an.communities(nodes, none)) == own and pairs(an.spectral(nodes, none)) == own and set(pairs(an.betweenness(nodes, none)).values()) == {0.0}
+    loops = spark.createDataFrame([(v, k) for k, v in enumerate("abcd")], "id string, loop int")
+    assert pairs(rp.deepest_loops(loops, e)) == {"a": 6, "b": 6, "c": 5, "d": 3}
+
+
 def test_paths_with_and_without_sinks(spark):
     e = edges(spark, "a>b b>c c>d a>c d>a c>e", "value_flow")
     every = {tuple(r.path) for r in tr.paths(e, ids(spark, "a"), None, ["value_flow"], 3).collect()}
