@@ -9,6 +9,7 @@ from graphloom.operators import filters as fl
 from graphloom.operators import reports as rp
 from graphloom.operators import retrieval as rt
 from graphloom.operators import traverse as tr
+from graphloom.operators import dedup as dd
 from graphloom.operators.dedup import all_pairs, members, near_pairs, placed
 from graphloom.plans import dsl
 from graphloom.sources import scanners
@@ -166,6 +167,18 @@ def test_clone_clusters_hold_every_document(spark):
     assert {(r.a, r.b) for r in all_pairs(pairs, held).collect()} == {(0, 1), (2, 3), (2, 4), (0, 5), (5, 6)}
 
 
+def test_sketches_are_settled_where_items_share_every_cell(spark):
+    rows = [(f"u{i}" if i else None, k % 3 == 0) for i in range(60) for k in range(i % 7 + 1)]
+    items = spark.createDataFrame(rows, "item string, gone boolean")
+    gone = items.where("gone")
+    asked, table, less = items.select("item").distinct(), dd.sketch(items, "item", 8, 2), dd.sketch(gone, "item", 8, 2)
+    true = {f"u{i}" if i else None: i % 7 + 1 for i in range(60)}
+    assert pairs(dd.estimate(asked, "item", table, 8, 2)) != true
+    assert pairs(dd.settled(dd.estimate(asked, "item", table, 8, 2), items, "item", width=8, depth=2)) == true
+    left = dd.settled(dd.estimate(asked, "item", dd.decremented(table, less), 8, 2), items, "item", gone, 8, 2)
+    assert pairs(left) == {v: n - -(-n // 3) for v, n in true.items()}
+
+
 def test_communities_by_resolution_and_spectral_halves(spark):
     blocks = [[f"g{g}{c}{i}" for i in range(4)] for g in range(4) for c in range(3)]
     rows = [(a, b, 1.0) for block in blocks for k, a in enumerate(block) for b in block[k + 1 :]]
