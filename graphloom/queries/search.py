@@ -92,18 +92,13 @@ def _(s, d):
     return _batch(s, d).join(f, "id", "left").fillna(0, ["n"]).select("query", "id", F.round(sg.fan_signal("n"), 6).alias("s_fan_in"))
 
 
-_PAIRS = "SELECT a.p_partkey AS ka, b.p_partkey AS kb, 1.0 / (1 + abs(a.p_size - b.p_size)) AS similarity FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey"
-
-
 @query("signal_cohesion", f"""
-    WITH {_BATCH}, pr AS (SELECT concat('p', ka) AS a, concat('p', kb) AS b, similarity FROM ({_PAIRS})), both_ AS (SELECT a, b, similarity FROM pr UNION ALL SELECT b, a, similarity FROM pr),
-    x AS (SELECT b1.query, b1.id, sum(similarity) AS s FROM both_ JOIN b b1 ON b1.id = a JOIN b b2 ON b2.id = both_.b AND b2.query = b1.query GROUP BY 1, 2), n AS (SELECT query, count(*) AS n FROM b GROUP BY 1)
-    SELECT b.query, b.id, CAST(round(CASE WHEN n > 1 THEN coalesce(s, 0) / (n - 1) ELSE 0 END, 6) AS DOUBLE) AS cohesion FROM b JOIN n ON n.query = b.query LEFT JOIN x ON x.query = b.query AND x.id = b.id""")
+    WITH {_BATCH}, h AS (SELECT query, p_size, count(*) AS m FROM b GROUP BY 1, 2),
+    x AS (SELECT a.query, a.p_size, sum((o.m - CASE WHEN a.p_size = o.p_size THEN 1 ELSE 0 END) / CAST(1 + abs(a.p_size - o.p_size) AS DOUBLE)) AS s FROM h a JOIN h o ON o.query = a.query GROUP BY 1, 2), n AS (SELECT query, count(*) AS n FROM b GROUP BY 1)
+    SELECT b.query, b.id, CAST(round(CASE WHEN n > 1 THEN coalesce(s, 0) / (n - 1) ELSE 0 END, 6) AS DOUBLE) AS cohesion FROM b JOIN n ON n.query = b.query LEFT JOIN x ON x.query = b.query AND x.p_size = b.p_size""")
 def _(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    a, b = p.toDF("ka", "p_name", "p_brand", "sa"), p.toDF("kb", "p_name", "p_brand", "sb")
-    pairs = a.join(b, ["p_name", "p_brand"]).where("ka < kb").select(F.concat(F.lit("p"), F.col("ka").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("kb").cast("string")).alias("b"), (1.0 / (1 + F.abs(F.col("sa") - F.col("sb")))).alias("similarity"))
-    return sg.cohesion(_batch(s, d), pairs).select("query", "id", F.round("cohesion", 6).alias("cohesion"))
+    batch = _batch(s, d).select("query", "id", F.col("p_size").alias("value"))
+    return sg.cohesion(batch, lambda a, b: 1.0 / (1 + F.abs(a - b))).select("query", "id", F.round("cohesion", 6).alias("cohesion"))
 
 
 @query("signal_churn", "SELECT l_partkey AS id, round(ln(1 + count(*)) / ln(1 + max(count(*)) OVER ()), 6) AS s_churn FROM lineitem GROUP BY 1")

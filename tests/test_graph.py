@@ -179,6 +179,16 @@ def test_sketches_are_settled_where_items_share_every_cell(spark):
     assert pairs(left) == {v: n - -(-n // 3) for v, n in true.items()}
 
 
+def test_cohesion_takes_in_all_others_of_the_batch(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(k, f"n{k % 4}", f"Brand#{k % 3}", "AB"[k % 7 == 0], k * k % 11, 1.0) for k in range(30)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: r.cohesion for r in entry.queries()["signal_cohesion"](spark, str(tmp_path)).collect()}
+    near = {a[0]: [1 / (1 + abs(a[4] - b[4])) for b in rows if b[0] != a[0] and b[3] == a[3]] for a in rows}
+    assert got == {f"p{k}": pytest.approx(sum(v) / len(v), abs=1e-6) for k, v in near.items()}
+
+
 def test_communities_by_resolution_and_spectral_halves(spark):
     blocks = [[f"g{g}{c}{i}" for i in range(4)] for g in range(4) for c in range(3)]
     rows = [(a, b, 1.0) for block in blocks for k, a in enumerate(block) for b in block[k + 1 :]]
