@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import shingles
+from graphloom.functions.text import shingle_hashes, shingles
 from graphloom.operators import analytics as an
 from graphloom.operators import filters as fl
 from graphloom.operators import reports as rp
@@ -167,6 +167,29 @@ def test_clone_clusters_hold_every_document(spark):
     assert {(r.a, r.b) for r in all_pairs(pairs, held).collect()} == {(0, 1), (2, 3), (2, 4), (0, 5), (5, 6)}
 
 
+def test_sets_move_only_where_their_marks_allow_it(spark):
+    import random
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    tokens = [base, [*base[:-9], "x"], [*base[:-40], *"abcdefgh"], base[:150], base[:120] + [f"v{i}" for i in range(80)], base[:3], base[:3], []]
+    docs = spark.createDataFrame(list(enumerate(tokens)), "id long, tokens array<string>")
+    sets = [{tuple(t[k : k + 5]) for k in range(max(len(t) - 4, 1))} if t else set() for t in tokens]
+    jac = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    true = {(i, j): jac(i, j) for i in range(7) for j in range(i + 1, 7)}
+    for column in (shingles(F.col("tokens")), shingle_hashes(F.col("tokens"))):
+        d = dd.keyed(docs.select("id", column.alias("shingles"), F.lit(None).cast("long").alias("length")))
+        marks = dd.signatures(d)
+        a, b = marks.select(*[F.col(c).alias(f"{c}_a") for c in marks.columns]), marks.select(*[F.col(c).alias(f"{c}_b") for c in marks.columns])
+        most = {(r[0], r[1]): r[2] for r in a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", dd.most_similar(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))).collect()}
+        assert set(most) == set(true) and all(most[p] >= v for p, v in true.items()) and most[0, 4] < 0.8
+        want = {(i, j): pytest.approx(v) for (i, j), v in true.items() if v >= 0.8 and (i, j) != (5, 6)}
+        assert {(r.a, r.b): r.similarity for r in near_pairs(d).collect()} == want == {(r.a, r.b): r.similarity for r in dd.stratified_pairs(d).collect()}
+        index = dd.index_change(dd.band_index(d), removed=docs.where("id = 0").select("id"))
+        found = {(r["query"], r.id) for r in dd.index_query(index, d, d).collect()}
+        assert found == {p for i, j in want | {(5, 6): 1.0} for p in ((i, j), (j, i)) if p[1] != 0}
+
+
 def test_sketches_are_settled_where_items_share_every_cell(spark):
     rows = [(f"u{i}" if i else None, k % 3 == 0) for i in range(60) for k in range(i % 7 + 1)]
     items = spark.createDataFrame(rows, "item string, gone boolean")
