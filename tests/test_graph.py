@@ -190,6 +190,12 @@ def test_sets_move_only_where_their_marks_allow_it(spark):
         assert found == {p for i, j in want | {(5, 6): 1.0} for p in ((i, j), (j, i)) if p[1] != 0}
 
 
+def test_frequent_shingles_are_counted_by_themselves(spark):
+    docs = spark.createDataFrame([(i, ["all", f"own{i}", f"half{i % 2}", f"tenth{i % 10}"]) for i in range(40)], "id long, shingles array<string>")
+    for cells in (1, 7, 1 << 20):
+        assert pairs(dd.frequent_shingles(docs, 0.2, cells)) == {"all": 40, "half0": 20, "half1": 20}
+
+
 def test_sketches_are_settled_where_items_share_every_cell(spark):
     rows = [(f"u{i}" if i else None, k % 3 == 0) for i in range(60) for k in range(i % 7 + 1)]
     items = spark.createDataFrame(rows, "item string, gone boolean")
