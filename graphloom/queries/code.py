@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters as fl
 from ..operators import reports as rp
 from ..operators import traverse as tr
+from ..plans.durable import spread
 from ..plans.model import Graph
 from ..plans.registry import query
 from ..sources.tables import duck, projection, supply, table
@@ -171,7 +172,7 @@ def _(s, d):
 def _(s, d):
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("pr"), "l_linenumber", "l_suppkey", "l_linestatus")
     n = F.count("l_linenumber")
-    per = table(s, d, "orders").select(F.col("o_orderkey").alias("pr"), "o_orderpriority").join(li, "pr", "left").groupBy("pr", "o_orderpriority")
+    per = table(s, d, "orders").select(F.col("o_orderkey").alias("pr"), "o_orderpriority").join(spread(li, "pr"), "pr", "left").groupBy("pr", "o_orderpriority")
     a = per.agg(F.least(F.lit(1.0), n / 8.0).alias("flow"), F.least(F.lit(1.0), F.count_distinct("l_suppkey") / 5.0).alias("callers"), F.when(n == 0, 0.0).otherwise(1 - F.count_if(F.col("l_linestatus") == "F") / n).alias("coverage"))
     level, factors = rp.pr_risk({k: F.col(k) for k in ("flow", "callers", "coverage")}, F.contains("o_orderpriority", F.lit("URGENT")))
     return a.select("pr", level.alias("level"), factors.alias("factors"))

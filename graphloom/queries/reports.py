@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.text import token_estimate
 from ..operators import filters as fl
 from ..operators import traverse as tr
+from ..plans.durable import spread
 from ..plans.model import rank
 from ..plans.registry import query
 from ..sinks import text as sinks
@@ -164,8 +165,11 @@ def _(s, d):
     UNION ALL SELECT l_orderkey, 'orphan', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
 def _(s, d):
     li, o = table(s, d, "lineitem").select(F.col("l_orderkey").alias("tbl")), table(s, d, "orders").select(F.col("o_orderkey").alias("tbl"), "o_orderstatus")
-    un = o.join(li, "tbl", "left_anti").select("tbl", F.lit("unreferenced").alias("status"), F.lit(0).cast("long").alias("queries"))
-    return un.unionByName(li.join(o.where("o_orderstatus <> 'P'"), "tbl", "left_anti").groupBy("tbl").agg(F.count("*").alias("queries")).select("tbl", F.lit("orphan").alias("status"), "queries"))
+    uses = li.select("tbl", F.lit(1).cast("long").alias("queries"), F.lit(0).cast("long").alias("here"), F.lit(False).alias("known"))
+    ends = uses.unionByName(o.select("tbl", F.lit(0).cast("long").alias("queries"), F.lit(1).cast("long").alias("here"), F.coalesce(F.col("o_orderstatus") != "P", F.lit(False)).alias("known"))).where("tbl IS NOT NULL")
+    per = spread(ends, "tbl").groupBy("tbl").agg(F.sum("queries").alias("queries"), F.sum("here").alias("here"), F.max("known").alias("known")).where("queries = 0 OR NOT known")
+    status = F.when(F.col("queries") == 0, "unreferenced").otherwise("orphan").alias("status")
+    return per.select("tbl", status, "queries", F.explode(F.array_repeat(F.lit(0), F.when(F.col("queries") == 0, F.col("here")).otherwise(1).cast("int")))).drop("col")
 
 
 @query("untested_symbols", duck("WITH RECURSIVE tested(node) AS (SELECT id FROM nodes WHERE kind = 'function' UNION SELECT dst FROM tested JOIN edges ON src = node AND kind IN ('calls', 'references')) SELECT n.id, count(e.src) AS fan_in FROM nodes n LEFT JOIN edges e ON e.dst = n.id WHERE n.id NOT IN (SELECT node FROM tested) GROUP BY 1"))
@@ -223,9 +227,12 @@ def _(s, d):
 
 @query("co_change_pairs", "SELECT a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS together FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(DISTINCT a.l_orderkey) >= 2")
 def _(s, d):
-    li = table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    li = table(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    rows = li.count()
+    li = spread(li, "l_orderkey", rows=rows).distinct()
     a, b = li.withColumnRenamed("l_partkey", "a"), li.withColumnRenamed("l_partkey", "b")
-    return a.join(b, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("together")).where("together >= 2")
+    pairs = a.join(b, "l_orderkey").where("a < b").select("a", "b")
+    return spread(pairs, "a", "b", rows=3 * rows).groupBy("a", "b").agg(F.count("*").alias("together")).where("together >= 2")
 
 
 @query("return_usage", "SELECT l_partkey AS fn, count(*) AS sites, count(*) FILTER (l_returnflag = 'R') AS discarded, count(*) FILTER (l_returnflag = 'A') AS assigned, count(*) FILTER (l_returnflag NOT IN ('R', 'A')) AS unclassified FROM lineitem GROUP BY 1")
@@ -346,7 +353,10 @@ def _(s, d):
 def _(s, d):
     g = supply(s, d)
     a, b = g.nodes.select(F.col("id").alias("src"), F.col("repo_prefix").alias("f")), g.nodes.select(F.col("id").alias("dst"), F.col("repo_prefix").alias("t"))
-    return g.edges.select("src", "dst", "kind").join(a, "src").join(b, "dst").groupBy("f", "t", "kind").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
+    # A row for each source, kind and target part: its sources need not be told apart once more.
+    per = g.edges.select("src", "dst", "kind").join(b, "dst").groupBy("src", "kind", "t").agg(F.count("*").alias("n"))
+    own = a.groupBy("src", "f").agg(F.count("*").alias("copies"))
+    return per.join(own, "src").groupBy("f", "t", "kind").agg(F.sum(F.col("n") * F.col("copies")).alias("n"), F.count("*").alias("sources"))
 
 
 @query("symbol_history", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -377,7 +387,7 @@ def _(s, d):
 @query("risk_levels", "SELECT o_orderpriority, CASE WHEN n >= 10 OR m >= 10 THEN 'CRITICAL' WHEN n >= 5 OR m >= 5 THEN 'HIGH' WHEN n >= 2 OR m >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk, count(*) AS orders FROM (SELECT o_orderkey, o_orderpriority, count(DISTINCT l_suppkey) AS n, count(l_linenumber) AS m FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1, 2")
 def _(s, d):
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber")
-    per = table(s, d, "orders").select("o_orderkey", "o_orderpriority").join(li, "o_orderkey", "left").groupBy("o_orderkey", "o_orderpriority").agg(F.count_distinct("l_suppkey").alias("n"), F.count("l_linenumber").alias("m"))
+    per = table(s, d, "orders").select("o_orderkey", "o_orderpriority").join(spread(li, "o_orderkey"), "o_orderkey", "left").groupBy("o_orderkey", "o_orderpriority").agg(F.count_distinct("l_suppkey").alias("n"), F.count("l_linenumber").alias("m"))
     return per.groupBy("o_orderpriority", risk(F.col("n"), F.col("m")).alias("risk")).agg(F.count("*").alias("orders"))
 
 
