@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import filters as fl
 from ..operators import traverse as tr
 from ..plans import dsl
+from ..plans.durable import durable, small, spread
 from ..plans.model import DEPENDENCY_KINDS, rank
 from ..plans.registry import query
 from ..sources.tables import duck, projection, supply, table
@@ -79,7 +80,8 @@ def _(s, d):
     UNION ALL SELECT 'defines', id, 1 FROM own"""))
 def _(s, d):
     g = supply(s, d)
-    own = g.nodes.where(F.col("file_path") == "src/geo/nation.ts").select("id")
+    own = durable(g.nodes.where(F.col("file_path") == "src/geo/nation.ts").select("id"), "own")
+    own = small(own, own.count())
     a, b = own.withColumnRenamed("id", "src"), own.withColumnRenamed("id", "dst")
     callers = g.edges.join(b, "dst", "left_semi").join(a, "src", "left_anti").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).select(F.lit("caller").alias("role"), "id", "n")
     callees = g.edges.join(a, "src", "left_semi").join(b, "dst", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).select(F.lit("callee").alias("role"), "id", "n")
@@ -109,9 +111,11 @@ def _(s, d):
 @query("override_dispatch", duck("SELECT c.src, o.src AS override, count(*) AS n FROM edges c JOIN edges o ON c.kind = 'references' AND o.kind = 'depends_on' AND c.dst = o.src GROUP BY 1, 2"))
 def _(s, d):
     e = supply(s, d).edges
-    c = e.where("kind = 'references'").select("src", "dst")
-    o = e.where("kind = 'depends_on'").select(F.col("src").alias("override"))
-    return c.join(o, c["dst"] == o["override"]).groupBy(c["src"], "override").agg(F.count("*").alias("n"))
+    # Both ends counted first: a pair meets once, however many edges it has.
+    c = e.where("kind = 'references'").select("src", F.col("dst").alias("override"))
+    c = spread(c, "override").groupBy("src", "override").agg(F.count("*").alias("calls"))
+    o = e.where("kind = 'depends_on'").groupBy(F.col("src").alias("override")).agg(F.count("*").alias("overs"))
+    return c.join(o, "override").select("src", "override", (F.col("calls") * F.col("overs")).alias("n"))
 
 
 @query("field_filter", duck("SELECT id, name FROM nodes WHERE language = 'rust' AND kind IN ('type', 'interface') AND starts_with(file_path, 'src/part/') AND contains(lower(name), 'ring')"))
