@@ -60,9 +60,12 @@ def closure(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], depth: int
 def paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame | None, kinds: Sequence[str], depth: int) -> DataFrame:
     """(source, sink, length, path): all simple paths of at most ``depth`` steps, a node being the way to itself.
 
-    With sinks a path only goes on to nodes from which a sink can still be reached in the steps left.
+    Only steps within reach of the sources are told apart and written.  With sinks a path only goes on to nodes from which
+    a sink can still be reached in the steps left.
     """
-    steps = durable(edges.where(F.col("kind").isin(*kinds)).select(F.col("src").alias("here"), F.col("dst").alias("there")).distinct(), "steps")
+    ahead = bfs(edges, sources, "out", kinds, max(depth - 1, 0)).select(F.col("node").alias("here"))
+    steps = edges.where(F.col("kind").isin(*kinds)).select(F.col("src").alias("here"), F.col("dst").alias("there"))
+    steps = durable(steps.join(small(ahead, ahead.count()), "here", "left_semi").distinct(), "steps")
     left = None
     if sinks is not None:
         back = steps.select(F.col("here").alias("src"), F.col("there").alias("dst"), F.lit("step").alias("kind"))
