@@ -161,19 +161,24 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, chunk: int = 4096) -> Da
         ids, q = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
 
         def search(frames, ids=ids, q=q):
-            held_score, held_id = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), np.int64)
+            # A few hundred queries meet a block at a time: what a task holds is their scores, and k hits of each query.
+            parts = [slice(lo, lo + 256) for lo in range(0, len(ids), 256)]
+            held = [(np.full((len(ids[p]), 0), -np.inf), np.empty((len(ids[p]), 0), np.int64)) for p in parts]
             for frame in frames:
                 frame = frame[frame["embedding"].map(lambda v: v is not None and len(v) == q.shape[1])]
                 for at in range(0, len(frame), 1024):
                     block = frame.iloc[at : at + 1024]
                     own = block["vec_id"].to_numpy()
-                    score = np.round(q @ np.stack(block["embedding"].to_numpy()).astype(float).T, 4)
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                    score, own = np.hstack([held_score, score]), np.hstack([held_id, np.broadcast_to(own, score.shape)])
-                    if score.shape[1] > k:  # all that reach the k-th best, then the smaller ids among equals
-                        order = np.lexsort((own, -score), axis=1)[:, :k]
-                        score, own = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
-                    held_score, held_id = score, own
+                    vec = np.stack(block["embedding"].to_numpy()).astype(float).T if len(block) else np.empty((q.shape[1], 0))
+                    for i, p in enumerate(parts):
+                        score = np.round(q[p] @ vec, 4)
+                        score[ids[p, None] == own[None, :]] = -np.inf
+                        score, mine = np.hstack([held[i][0], score]), np.hstack([held[i][1], np.broadcast_to(own, score.shape)])
+                        if score.shape[1] > k:  # all that reach the k-th best, then the smaller ids among equals
+                            order = np.lexsort((mine, -score), axis=1)[:, :k]
+                            score, mine = np.take_along_axis(score, order, 1), np.take_along_axis(mine, order, 1)
+                        held[i] = score, mine
+            held_score, held_id = np.vstack([h[0] for h in held]), np.vstack([h[1] for h in held])
             keep = np.isfinite(held_score)
             yield pd.DataFrame({"query_id": np.repeat(ids, held_score.shape[1]).reshape(held_score.shape)[keep], "vec_id": held_id[keep], "score": held_score[keep]})
 
