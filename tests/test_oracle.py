@@ -31,6 +31,18 @@ def test_same_rows(spark, con, name):
     assert rounded(tuple(r) for r in df.collect()) == rounded(tuple(r[i] for i in order) for r in found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["orphan_tables", "risk_levels", "override_dispatch", "architecture_rollup", "file_editing_context", "dataflow_paths_len3", "knn_parents"])
+def test_same_rows_after_sums_and_spreads(spark, con, name):
+    test_same_rows(spark, con, name)
+
+
+def test_partitions_follow_the_rows(spark):
+    from graphloom.plans.durable import spread
+
+    assert spread(spark.range(1000), "id", each=50).rdd.getNumPartitions() == 20
+    assert spread(spark.range(1000), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_each_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
